@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, html, packing, quality, tokens, units, warc
+from corpusloom.llm import chat, decontaminate, html, near, packing, quality, tokens, units, warc
 from corpusloom.llm.common import read
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -47,6 +47,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), byte_bpe())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, html, near, packing, quality, tokens, units, warc
+from corpusloom.llm import chat, decontaminate, html, near, packing, quality, suffixes, tokens, units, warc
 from corpusloom.llm.common import read
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -55,6 +55,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(read(spark, sf_dir, "pages"))
 

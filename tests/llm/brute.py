@@ -46,17 +46,16 @@ def near_components(rows: list[tuple]) -> list[tuple]:
 def substring_dedup(rows: list[tuple], size: int = 50) -> list[tuple]:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) from (doc_id, text)."""
     first: dict[bytes, int] = {}
-    raw = [(d, (t or "").encode("utf-8", "surrogatepass")) for d, t in rows]
-    for d, b in raw:
-        if d is not None:
-            for i in range(len(b) - size + 1):
-                k = b[i : i + size]
-                first[k] = min(d, first.get(k, d))
+    raw = [(d, 2**63 - 1 if d is None else d, (t or "").encode("utf-8", "surrogatepass")) for d, t in rows]
+    for _, r, b in raw:
+        for i in range(len(b) - size + 1):
+            k = b[i : i + size]
+            first[k] = min(r, first.get(k, r))
     out = []
-    for d, b in raw:
+    for d, r, b in raw:
         gone = bytearray(len(b))
         for i in range(len(b) - size + 1):
-            if d is not None and first[b[i : i + size]] < d:
+            if first[b[i : i + size]] < r:
                 gone[i : i + size] = b"\1" * size
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)

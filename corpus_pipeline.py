@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, packing, quality
+from corpusloom.llm import decontaminate, near, packing, quality, suffixes
 from corpusloom.llm.common import read, write_table
 from corpusloom.llm.queries import byte_bpe
 
@@ -14,6 +14,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near.one_of_each(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that documents before them have in strings of 50 bytes."""
+    return suffixes.dedup(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -24,7 +34,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, byte_bpe())
 
 
-STAGES = [("quality rules", quality_rules), ("benchmark decontamination", decontamination), ("best-fit packing", best_fit_packing)]
+STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_dedup), ("suffix-array dedup", suffix_array_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", best_fit_packing)]
 
 #: Packing and tokenization have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_written: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _written.append(out)
     return out
 
 
@@ -33,3 +36,13 @@ def discard(table: DataFrame) -> None:
     spark = table.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for t in _written:
+        try:
+            if t.sparkSession.sparkContext._jsc is not None:
+                discard(t)
+        except Exception:  # the session has ended before: its files are the cluster's to expire
+            return

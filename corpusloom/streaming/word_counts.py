@@ -28,7 +28,7 @@ def keep_counts(docs: DataFrame, folder: str) -> StreamingQuery:
 
 
 def stream_counts(spark: SparkSession, path: str, schema: str = "doc_id long, text string") -> DataFrame:
-    """Counts of the parquet files in a folder (or of one file), read as a stream."""
+    """Counts of the parquet files in a folder (or of one file), read as a stream. A pattern takes either."""
     folder = f"{shared_dir(spark)}/corpusloom/stream-{uuid.uuid4().hex}"
-    keep_counts(spark.readStream.schema(schema).parquet(path), folder).awaitTermination()
+    keep_counts(spark.readStream.schema(schema).parquet(f"{path}*"), folder).awaitTermination()
     return spark.read.schema("word string, cnt long").parquet(f"{folder}/counts")

@@ -119,18 +119,25 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _OP4 = r"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM documents
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM documents
+), placed AS (
+  SELECT *, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    regexp_extract_all(part, '[.!?]*[^.!?]+[.!?]*') AS s FROM lines
+), inner_ AS (
+  SELECT doc_id, unit, start, unnest(s) AS part, generate_subscripts(s, 1) AS i FROM placed WHERE len(s) > 1
+), both_ AS (
+  SELECT doc_id, unit, false AS sentence, start, part FROM placed
+  UNION ALL
+  SELECT doc_id, unit, true, start + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, unit ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), part FROM inner_
 ), normal AS (
-  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS u,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM lines
+  SELECT *, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS u FROM both_
 ), ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, row_number() OVER w AS k
-  FROM normal WHERE u <> '' AND length(u) - length(replace(u, ' ', '')) + 1 >= 5
-  WINDOW w AS (PARTITION BY u ORDER BY doc_id, unit)
-)
-SELECT doc_id, cast(unit AS INTEGER) AS unit, cast(start AS BIGINT) AS start, length(line) AS length, kept_doc_id, cast(kept_unit AS INTEGER) AS kept_unit
-FROM ranked WHERE k > 1
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS k
+  FROM normal WHERE u <> '' AND length(u) - length(replace(u, ' ', '')) + 1 >= CASE WHEN sentence THEN 8 ELSE 5 END
+  WINDOW w AS (PARTITION BY u ORDER BY doc_id, start, sentence)
+), gone AS (SELECT *, bool_and(sentence) OVER (PARTITION BY doc_id, unit) AS parts FROM ranked WHERE k > 1)
+SELECT doc_id, cast(unit AS INTEGER) AS unit, sentence, cast(start AS BIGINT) AS start, length(part) AS length, kept_doc_id, cast(kept_start AS BIGINT) AS kept_start
+FROM gone WHERE NOT sentence OR parts
 """
 
 

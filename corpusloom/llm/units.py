@@ -1,11 +1,13 @@
-"""Substring deduplication by hashing lines or paragraphs.
+"""Substring deduplication by hashing lines or paragraphs, and the sentences in them.
 
 Every unit of every text is normalised (A-Z lower-cased, runs of blanks made one space, ends
-stripped) and digested. Digests are grouped over the whole corpus; of equal units the one
-ranked first by (doc_id, row, unit) stays, and the others are removed. What is removed keeps
-its place in the original text: unit number, start and length in code points.
+stripped) and digested; a unit of several sentences has a digest for each of them too, as passages
+are also copied into the midst of lines. Digests are grouped over the whole corpus; of equal
+ones the occurrence ranked first by (doc_id, row, start) stays, and the others are removed. What is
+removed keeps its place in the original text: number of its unit, start and length in code points.
 
-Units of fewer than ``min_words`` words are no duplicates: short lines are equal by chance.
+Units of fewer than ``min_words`` words and sentences of fewer than ``min_sentence`` are no
+duplicates: short ones are equal by chance.
 
 Defined results: null or empty text has no units; a null doc_id ranks first; repeated rows are
 documents of their own, later ones lose their units; an empty table gives no rows.
@@ -19,14 +21,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import drop, join_hot, write_table
 
 CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t]*\n\s*")}
+#: Consecutive sentences, each with the marks that end it.
+SENTENCE = re.compile(r"[.!?]*[^.!?]+[.!?]*")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
-UNITS = "doc_id long, row long, unit int, start long, length long, digest binary"
+UNITS = "doc_id long, row long, unit int, sentence boolean, start long, length long, digest binary"
+NAMES = ["doc_id", "row", "unit", "sentence", "start", "length", "digest"]
 
 
 def spans(text: str, unit: str) -> Iterator[tuple[int, int]]:
@@ -41,7 +47,20 @@ def normalise(text: str) -> str:
     return _BLANKS.sub(" ", text.translate(_LOWER)).strip(" ")
 
 
-def units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
+def _digests(text: str, unit: str, min_words: int, min_sentence: int) -> Iterator[tuple[int, bool, int, int, bytes]]:
+    """unit, sentence, start, length, digest of all that can be a duplicate in a text."""
+    for k, (i, j) in enumerate(spans(text, unit)):
+        parts = [(False, i, j)]
+        inner = list(SENTENCE.finditer(text, i, j))
+        if len(inner) > 1:
+            parts += [(True, *m.span()) for m in inner]
+        for sentence, a, b in parts:
+            n = normalise(text[a:b])
+            if n and n.count(" ") + 1 >= (min_sentence if sentence else min_words):
+                yield k, sentence, a, b - a, hashlib.blake2b(n.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def units(docs: DataFrame, unit: str, min_words: int, min_sentence: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -49,40 +68,48 @@ def units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, (i, j) in enumerate(spans(text, unit) if text else ()):
-                    n = normalise(text[i:j])
-                    if n and n.count(" ") + 1 >= min_words:
-                        out.append((doc, row, k, i, j - i, hashlib.blake2b(n.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+                out += [(doc, row, *x) for x in _digests(text or "", unit, min_words, min_sentence)]
                 row += 1
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "row", "unit", "start", "length", "digest"])
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], NAMES)
 
     return docs.select("doc_id", "text").mapInArrow(run, UNITS)
 
 
-def removed_units(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
-    """doc_id, row, unit, start, length of every unit to remove, and kept_doc_id, kept_unit of the one that stays."""
-    all_units = write_table(units(docs, unit, min_words), "units")
-    place = F.struct("doc_id", "row", "unit")
+def removed_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
+    """doc_id, row, unit, sentence, start, length of all that is removed, and kept_doc_id, kept_start of what stays for it. Sentences of a removed unit aren't listed."""
+    all_units = write_table(units(docs, unit, min_words, min_sentence), "units")
+    place = F.struct("doc_id", "row", "start", "sentence")
     # Partial sums first: a digest that a third of all rows has reaches its reducer as a row a task.
     first = all_units.groupBy("digest").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1")
     first = write_table(first, "first-units")
-    both = join_hot(all_units, first, "digest", "n", all_units.count())
-    out = both.where(place != F.col("kept"))
-    return out.select("doc_id", "row", "unit", "start", "length", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit"))
+    gone = join_hot(all_units, first, "digest", "n", all_units.count()).where(place != F.col("kept"))
+    whole = F.min("sentence").over(W.partitionBy("row", "unit"))
+    gone = gone.withColumn("whole", ~whole).where(~F.col("sentence") | ~F.col("whole"))
+    return gone.select("doc_id", "row", "unit", "sentence", "start", "length", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
 
 
 def without_units(text: str, gone: list[tuple[int, int]], unit: str) -> str:
-    """What is left of a text, with a break between units that stay."""
-    starts = {i for i, _ in gone}
-    return ("\n" if unit == "line" else "\n\n").join(text[i:j] for i, j in spans(text, unit) if i not in starts)
-
-
-def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
+    """What is left of a text: removed units go with their breaks, removed sentences out of their units."""
+    out, k = [], 0
+    for i, j in spans(text, unit):
+        left, at = [], i
+        while k < len(gone) and gone[k][0] < j:
+            left.append(text[at : gone[k][0]])
+            at, k = gone[k][0] + gone[k][1], k + 1
+        if at > i or not left:
+            left.append(text[at:j])
+        kept = "".join(left)
+        if kept or i == j:
+            out.append(kept)
+    return ("\n" if unit == "line" else "\n\n").join(out)
+
+
+def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
     """doc_id, text without its removed units, and removed, the original (start, length) of each, of every document."""
     stored = write_table(docs.select("doc_id", "text"), "unit-texts")
-    gone = write_table(removed_units(stored, unit, min_words), "removed-units")
+    gone = write_table(removed_units(stored, unit, min_words, min_sentence), "removed-units")
     # The rows are numbered as the stored table is read, in units() as here.
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

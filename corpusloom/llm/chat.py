@@ -15,6 +15,7 @@ conversation is one output text and so one row, however many turns it has.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HEAD, SEP, END = "### ", ": ", "</turn>\n"
@@ -63,31 +64,31 @@ def _round_trips(role: Column, text: Column, rendered: Column) -> Column:
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, n_turns, formatted, loss_spans (start and length in code points of every loss text), parsed."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    shown = None
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    shown = size = None
     for level in range(len(LEVELS)):
         out = _render(F.col("role"), F.col("text"), level)
         ok = _round_trips(F.col("role"), F.col("text"), out)
+        length = F.length(_escape(F.col("text"), LEVELS[level]))
         shown = F.when(ok, out) if shown is None else shown.when(ok, out)
-    rows = rows.withColumn("shown", shown.otherwise(F.raise_error(F.lit("a turn can't be escaped"))))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "shown"))).alias("turns"))
+        size = F.when(ok, length) if size is None else size.when(ok, length)
+    rows = rows.withColumns({"shown": shown.otherwise(F.raise_error(F.lit("a turn can't be escaped"))), "size": size})
+    # Where a turn's text begins: what stands before the turn, and its own head. Sum and group share one shuffle.
+    before = F.sum(F.length("shown")).over(W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("start", (F.coalesce(before, F.lit(0)) + F.length("shown") - F.col("size") - len(END)).cast("int"))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "start", "size", "shown"))).alias("turns"))
     out = grouped.select("conv_id", "turns", F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("formatted"))
     out = out.withColumn("parsed", parse_chat(F.col("formatted")))
     plain = lambda c: F.transform(c, lambda t: F.struct(t["role"], t["text"]))
     same = (plain("turns") == plain("parsed")) & F.forall("parsed", lambda t: t["ok"])
-    out = out.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation doesn't round-trip"))))
-    # A chunk's text ends before END; lengths of the chunks give where it starts.
-    step = F.aggregate(
-        F.transform(_chunks(F.col("formatted")), lambda c: F.struct(F.length(c).alias("n"), _parse_chunk(c).alias("t"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans")),
-        lambda acc, c: F.struct(
-            (acc["at"] + c["n"] + len(END)).alias("at"),
-            F.when(c["t"]["role"] == loss_role, F.concat(acc["spans"], F.array(F.struct((acc["at"] + c["n"] - F.length(c["t"]["raw"])).alias("start"), F.length(c["t"]["raw"]).alias("length")))))
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: F.struct(t["start"].alias("start"), t["size"].alias("length")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation doesn't round-trip"))).alias("formatted"),
+        spans.alias("loss_spans"),
+        "parsed",
     )
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "formatted", step["spans"].alias("loss_spans"), "parsed")
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

@@ -228,7 +228,7 @@ def contaminated(found: Column) -> Column:
 
 def contamination(docs: DataFrame, tests: DataFrame, **more) -> DataFrame:
     """The contract's row for every document."""
-    found = find_tests(docs.select("doc_id", "text"), tests, keep_text=False, **more)
+    found = find_tests(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tests, keep_text=False, **more)
     f = F.col("found")
     ids = F.array_join(F.sort_array(F.transform(f["items"], lambda i: i.cast("string"))), ",")
     return found.select(

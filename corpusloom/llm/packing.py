@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, encoding: tuple[str, str | None, str | None], size:
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE + ", uid long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", uid long")
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

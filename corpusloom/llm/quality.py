@@ -136,7 +136,7 @@ def _marked(docs: DataFrame, keep: list[str], min_group: int) -> DataFrame:
 def quality(docs: DataFrame, min_group: int = 200) -> DataFrame:
     """doc_id, features, base_failed and kept of every document."""
     out = _marked(docs, ["doc_id"], min_group)
-    return out.select(F.col("k0").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(F.col("k0").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_quality(docs: DataFrame, min_group: int = 200) -> DataFrame:

@@ -74,7 +74,7 @@ def units(docs: DataFrame, unit: str, min_words: int, min_sentence: int) -> Data
             types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, UNITS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, UNITS)
 
 
 def removed_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
@@ -108,7 +108,7 @@ def without_units(text: str, gone: list[tuple[int, int]], unit: str) -> str:
 
 def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
     """doc_id, text without its removed units, and removed, the original (start, length) of each, of every document."""
-    stored = write_table(docs.select("doc_id", "text"), "unit-texts")
+    stored = write_table(docs.select(F.col("doc_id").cast("long"), "text"), "unit-texts")
     gone = write_table(removed_units(stored, unit, min_words, min_sentence), "removed-units")
     # The rows are numbered as the stored table is read, in units() as here.
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,7 +104,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def _types(pages: DataFrame, min_revisit: int) -> DataFrame:
     """pages with digest, kind and refers_to."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     sized = rows.where(F.octet_length("html") >= min_revisit)
     first = write_table(sized.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "payloads")
     typed = join_hot(rows, first, "digest", "n", rows.count(), "left")

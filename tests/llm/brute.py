@@ -61,3 +61,29 @@ def substring_dedup(rows: list[tuple], size: int = 50) -> list[tuple]:
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def contamination(docs: list[tuple], tests: list[tuple]) -> list[tuple]:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+
+    def words(t: str | None) -> list[str]:
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(_LOWER))
+
+    windows = defaultdict(set)
+    for item, t in tests:
+        w = words(t)
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[i : i + n])].add(item)
+    sizes = {len(k) for k in windows}
+    out = []
+    for d, t in docs:
+        w, hit, items = words(t), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[i : i + n])):
+                    hit.update(range(i, i + n))
+                    items |= found
+        ids = ",".join(sorted(str(i) for i in items if i is not None))
+        out.append((d, len(w), len(hit), len({i for i in items if i is not None}), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out

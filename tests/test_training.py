@@ -1,0 +1,60 @@
+"""The training step, its schedule, and that training learns."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom import EmbeddingConfig
+from corpusloom.plans.training import train, train_batch
+
+
+def unit(x):
+    return x / np.linalg.norm(x)
+
+
+def test_config():
+    assert [round(EmbeddingConfig().rate(e), 5) for e in range(10)] == [0.1, 0.09001, 0.08002, 0.07003, 0.06004, 0.05005, 0.04006, 0.03007, 0.02008, 0.01009]
+    for name in ("window_size", "epochs", "learning_rate", "min_learning_rate", "negative_samples", "min_count"):
+        with pytest.raises(ValueError, match=name):
+            EmbeddingConfig(**{name: 0})
+
+
+def test_one_pair_is_the_exact_step():
+    rng = np.random.default_rng(1)
+    w_in, w_out = (np.array([unit(v) for v in rng.normal(size=(8, 5))]) for _ in range(2))
+    i, o, s, rate = w_in[2].copy(), w_out[3].copy(), w_out[[4, 5]].copy(), 0.1
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    e, q = sig(o @ i) - 1, sig(s @ i)
+    want_s = [unit(s[k] - rate * unit(q[k] * i)) for k in range(2)]
+    want_o, want_i = unit(o - rate * unit(e * i)), unit(i - rate * unit(e * o + q @ s))
+    train_batch(w_in, w_out, np.array([2]), np.array([3]), np.array([[4, 5, 0]]), np.array([[True, True, False]]), rate)
+    assert np.allclose(w_out[[4, 5]], want_s) and np.allclose(w_out[3], want_o) and np.allclose(w_in[2], want_i)
+    assert np.allclose(want_o, unit(o + rate * unit(i)))  # whatever was predicted
+
+
+def test_zero_input_changes_nothing_to_nan():
+    w_in, w_out = np.zeros((1, 3)), np.eye(3)
+    train_batch(w_in, w_out, np.array([0]), np.array([0]), np.array([[1]]), np.array([[True]]), 0.1)
+    assert np.isfinite(w_in).all() and np.allclose(w_out, np.eye(3))
+
+
+def test_two_topics_come_apart(spark):
+    rng = np.random.default_rng(5)
+    topics = [[f"{t}{k}" for k in range(12)] for t in "xy"]
+    texts = [" ".join(rng.choice(topics[d % 2], 30)) for d in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    c = EmbeddingConfig(dimensions=8, epochs=3, owners=2, sample=1.0, negative_samples=3, rounds_per_epoch=2)
+    seen = []
+    rows = train(docs, c, progress=lambda *a: seen.append(a)).orderBy("word").collect()
+    assert len(rows) == 24 and len(seen) == 6
+    v = {r["word"]: np.array(r["in_w"]) for r in rows}
+    same = np.mean([v[a] @ v[b] for t in topics for a in t for b in t if a != b])
+    cross = np.mean([v[a] @ v[b] for a in topics[0] for b in topics[1]])
+    assert same > cross + 0.2
+    again = {r["word"]: r["in_w"] for r in train(docs, c).collect()}
+    assert all(np.allclose(again[w], v[w]) for w in v)  # seeded
+
+
+def test_nothing_to_train(spark):
+    docs = spark.createDataFrame([(1, None), (2, "a")], "doc_id long, text string")
+    assert train(docs, EmbeddingConfig(dimensions=2, epochs=1, owners=2)).select(F.col("word")).count() == 0

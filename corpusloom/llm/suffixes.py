@@ -238,27 +238,29 @@ def _sender(buckets: int, length: int):
     return run
 
 
-def smallest(key: np.ndarray, doc: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
-    """[context, window]: the smallest doc_id with the window's string."""
+def smallest(key: np.ndarray, doc: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """[context, window]: the rank of the smallest doc_id with the window's string; and the rank of ``doc`` itself."""
     gram, width = shape(length)
+    rank = np.unique(doc, return_inverse=True)[1].astype(np.int32)
     order, at = _variants(key, rows)
     of = np.empty(len(key), np.int64)  # which distinct context each row is
-    of[order] = np.cumsum(np.isin(np.arange(len(key)), at)) - 1
-    first, least = order[at], np.minimum.reduceat(doc[order], at)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+    first, least = order[at], np.minimum.reduceat(rank[order], at)
     out = np.repeat(least[:, None], width, 1)
     own = key[first]
-    several = np.flatnonzero(np.bincount(np.cumsum(np.concatenate([[0], own[1:] != own[:-1]])))[np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))] > 1)
+    group = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(several):
         slot = rows.shape[1]
-        text = rows[first[several]].copy()
+        text = rows[first[several]]
         j0, j1 = np.ascontiguousarray(text[:, slot - 4 :]).view("<u2").astype(np.int64).T
         text[:, slot - 4 :] = 0
         which, j = np.nonzero((np.arange(width) >= j0[:, None]) & (np.arange(width) <= j1[:, None]))
         cls = classes(text.ravel(), which * slot + j, length)
-        best = np.full(int(cls.max()) + 1, LAST, np.int64)
+        best = np.full(int(cls.max()) + 1, len(doc), np.int32)
         np.minimum.at(best, cls, least[several][which])
         out[several[which], j] = best[cls]
-    return out[of]
+    return out[of], rank
 
 
 def _bucket(length: int):
@@ -271,17 +273,19 @@ def _bucket(length: int):
             key, least, ctx = _unsqueeze(r["payload"], "u8", "i8", "u1")
             parts.append((key, least, ctx.reshape(-1, slot)))
         key, least, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
-        best = smallest(key, least, ctx, length)
+        best, rank = smallest(key, least, ctx, length)
+        del ctx
+        ids = np.unique(least)
         out, i = [], 0
         for r, (k, *_) in zip(rows, parts, strict=True):
             own = best[i : i + len(k)]
-            i += len(k)
             new = np.ones(own.shape, bool)
             new[:, 1:] = own[:, 1:] != own[:, :-1]
-            new &= (own < least[i - len(k) : i, None]).any(1)[:, None]
+            new &= (own < rank[i : i + len(k), None]).any(1)[:, None]
+            i += len(k)
             which, j = np.nonzero(new)
             if len(which):
-                out.append((r["block"], r["bucket"], 1, _squeeze(k, which.astype("<u4"), j.astype("<u2"), own[which, j])))
+                out.append((r["block"], r["bucket"], 1, _squeeze(k, which.astype("<u4"), j.astype("<u2"), ids[own[which, j]])))
         return _notes(out)
 
     return run
@@ -317,10 +321,10 @@ def removed(block: Block, notes: list[dict], buckets: int) -> np.ndarray:
             place = base[r, None] + np.arange(width)
             on = (place >= first[r, None]) & (place <= last[r, None]) & (doc[r, None] > best[of])
             hit[place[on]] = True
-    count = np.cumsum(hit)
-    gone = count[: len(block.data)].copy()
-    gone[length:] -= count[: max(0, len(block.data) - length)]
-    return gone > 0
+    count = np.cumsum(hit, dtype=np.int32 if len(hit) < 2**31 else np.int64)[: len(block.data)]
+    gone = count > 0
+    gone[length:] = count[length:] > count[: max(0, len(count) - length)]
+    return gone
 
 
 def _cutter(buckets: int, length: int, schema: T.StructType | None, names: list[str]):
@@ -355,10 +359,10 @@ def _cutter(buckets: int, length: int, schema: T.StructType | None, names: list[
     return run
 
 
-def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, texts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, texts: bool = True) -> DataFrame:
     """texts: the documents with all their columns, text (and n_chars, if there) as what is left; else the contract's digests."""
     spark = docs.sparkSession
-    blocks = write_table(_blocks(docs if texts else docs.select("text", "doc_id"), block_bytes), "blocks")
+    blocks = write_table(_blocks(docs if texts else docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), block_bytes), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     masks = write_table(_hashes(blocks, buckets, length).groupBy("bucket").applyInArrow(_repeated, NOTE), "repeated")

@@ -15,6 +15,8 @@ TILE = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240321).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
+_SPREAD = U(0xD1B54A32D192ED03)
+
 
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, base, np.uint64)
@@ -69,7 +71,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
         last = fine.copy()
         last[:-1] &= (anchor[1:] != anchor[:-1]) | ~fine[1:]
         f, g = np.flatnonzero(first), np.flatnonzero(last)
-        keys.append(h[anchor[f]])
+        keys.append(h[anchor[f]] * _SPREAD)  # smallest hashes are small: spread them over all numbers
         anchors.append(anchor[f] + t)
         firsts.append(f + t)
         lasts.append(g + t)

@@ -30,8 +30,8 @@ WINDOW = 8
 FEATURES = {
     "word_length": ("word_chars", "n_words", 100, 10_000, 50, True),
     "symbols": ("n_symbols", "word_chars", 1000, 1000, 10, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1000, 100, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 1000, 50, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1000, 170, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 1000, 90, False),
 }
 
 

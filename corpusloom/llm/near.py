@@ -14,6 +14,7 @@
 5. Nodes that still hold several components are compared again, now with all pairs across
    components (in large nodes: every class outside the leader's component against all
    blocks), so what step 3 held back is made up for, and components are formed once more.
+   Sketches of 1024 tokens, made for the classes in these nodes only, rule out what isn't near.
 
 Nothing of this is collected, and no group grows with a hot key: large nodes are blocks.
 
@@ -39,6 +40,8 @@ HASHES = 64
 DEPTH = 5
 _rng = np.random.default_rng(20240607)
 _XOR, _MUL = (_rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1) for _ in range(2))
+FINE = 1024
+_FINE_XOR, _FINE_MUL = (_rng.integers(1, 2**63, FINE, dtype=np.uint64) * U(2) + U(1) for _ in range(2))
 SIGNED = "doc_id long, cls binary, n_shingles long, mins binary, sketch binary"
 
 
@@ -46,6 +49,14 @@ def digest(s: np.ndarray) -> bytes:
     return np.array([np.sum(mix(s ^ U(0x5851F42D4C957F2D)), dtype=np.uint64) + U(len(s)), np.sum(mix(s + U(0x14057B7EF767814F)), dtype=np.uint64)], ">u8").tobytes()
 
 
+def fine_sketch(s: np.ndarray) -> bytes:
+    """A byte of each of FINE more minwise tokens."""
+    out = np.full(FINE, 2**64 - 1, np.uint64)
+    for i in range(0, len(s), 256):
+        out = np.minimum(out, ((s[i : i + 256] ^ _FINE_XOR[:, None]) * _FINE_MUL[:, None]).min(1))
+    return ((out >> U(40)) & U(255)).astype(np.uint8).tobytes()
+
+
 def minwise(s: np.ndarray) -> np.ndarray:
     """The smallest of the set's elements under every hash, by their upper halves."""
     out = np.full(HASHES, 2**64 - 1, np.uint64)
@@ -67,29 +78,27 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 sketch.append(((m >> 3) & 255).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(mins, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "cls", "n_shingles", "mins", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
-
-
-def _paths(classes: DataFrame, trees: int, level: int) -> F.Column:
-    """For every tree the key of the node that a class is in at a level: its tree and the tokens chosen so far."""
-    token = lambda t, i: F.substring("mins", 4 * ((t + i * trees) % HASHES) + 1, 4)
-    return F.array(*[F.xxhash64(F.lit(t), *[token(t, i) for i in range(level)]) for t in range(trees)])
+    return docs.mapInArrow(run, SIGNED)
 
 
 def grow_trees(classes: DataFrame, trees: int, leaf: int) -> list[DataFrame]:
     """Tables of node, cls, n: the nodes of two to ``leaf`` classes, level by level; last the large nodes of the last level, if any."""
-    open_, out = None, []
+    token = lambda tree, i: F.substring(F.col("mins"), 4 * ((tree + i * trees) % HASHES) + 1, F.lit(4))
+    first = F.array(*[F.xxhash64(F.lit(t), token(F.lit(t), 0)) for t in range(trees)])
+    # A node's key is its tree and the tokens chosen so far. Only classes of large nodes get deeper keys.
+    deeper = F.array(*[F.xxhash64("tree", *[token(F.col("tree"), i) for i in range(level)]) for level in range(2, DEPTH + 1)])
+    rows, out = classes.select("cls", F.posexplode(first).alias("tree", "node")), []
     for level in range(1, DEPTH + 1):
-        rows = classes.select("cls", F.posexplode(_paths(classes, trees, level)).alias("tree", "node"))
-        if open_ is not None:
-            rows = rows.join(open_, ["cls", "tree"], "left_semi")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         nodes = write_table(rows.join(sizes, "node"), f"nodes-{level}")
         large = nodes.where(F.col("n") > leaf)
         out.append(nodes.where(F.col("n") <= leaf).select("node", "cls", "n"))
         if large.isEmpty():
             return out
-        open_ = large.select("cls", "tree")
+        if level == 1:
+            rows = large.select("cls", "tree").join(classes.select("cls", "mins"), "cls").select("cls", "tree", deeper.alias("keys"))
+        if level < DEPTH:
+            rows = (rows if level == 1 else large).select("cls", "tree", "keys", F.col("keys")[level - 1].alias("node"))
     return [*out, large.select("node", "cls", "n")]
 
 
@@ -112,19 +121,56 @@ def compare(g: np.ndarray, sketch: np.ndarray, n: np.ndarray, side: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _by_group(rows: DataFrame, pick, schema: str) -> DataFrame:
+    """``pick`` over tables of whole groups g of rows (g, side, cls, sketch, n_shingles, comp), asking sides first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            g = rest.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
+            if cut:
+                yield pick(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None and len(rest):
+            yield pick(rest)
+
+    cols = rows.select("g", "side", "cls", "sketch", "n_shingles", "comp")
+    return cols.repartition("g").sortWithinPartitions("g", F.col("side").desc(), "cls").mapInArrow(run, schema)
+
+
+def _found(t: pa.Table, across: bool, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    g, n, side = (t.column(c).to_numpy() for c in ("g", "n_shingles", "side"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(g), -1)
+    comp = np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)[1] if across else None
+    return compare(g, sketch, n, side, comp, least)
+
+
+def _asking(rows: DataFrame, least: int) -> DataFrame:
+    """The rows (g, side, cls, comp) that sketches allow a link to another component, so that only these need finer ones."""
+
+    def pick(t: pa.Table) -> pa.RecordBatch:
+        i, j, _ = _found(t, True, least)
+        use = np.unique(np.concatenate([i, j]))
+        return t.select(["g", "side", "cls", "comp"]).take(pa.array(use)).combine_chunks().to_batches()[0] if len(use) else pa.RecordBatch.from_pylist([], t.select(["g", "side", "cls", "comp"]).schema)
+
+    return _by_group(rows, pick, "g long, side int, cls binary, comp binary")
+
+
 def _candidates(rows: DataFrame, across: bool, least: int) -> DataFrame:
-    """Candidate pairs a < b from rows (g, side, cls, sketch, n_shingles, comp).
+    """Candidate pairs a < b.
 
     Sides 0 and 1 are compared with each other, side 2 with all. across: all pairs of different
     components; else the best partner of each row, and all of its group's first row.
     """
 
     def pick(t: pa.Table) -> pa.RecordBatch:
-        g, n, side = (t.column(c).to_numpy() for c in ("g", "n_shingles", "side"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+        i, j, same = _found(t, across, least)
         cls = np.array(t.column("cls").to_pylist(), object)
-        i, j, same = compare(g, sketch, n, side, np.array(t.column("comp").to_pylist(), object) if across else None, least)
         if not across and len(i):
+            g = t.column("g").to_numpy()
             first = np.concatenate([[True], g[1:] != g[:-1]])
             who, other = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
             order = np.lexsort((other, -np.tile(same, 2), who))
@@ -137,48 +183,50 @@ def _candidates(rows: DataFrame, across: bool, least: int) -> DataFrame:
         a, b = np.where(swap, b, a)[ok], np.where(swap, a, b)[ok]
         return pa.RecordBatch.from_arrays([pa.array(a.tolist(), pa.binary()), pa.array(b.tolist(), pa.binary())], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            g = rest.column("g").to_numpy()
-            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
-            if cut:
-                yield pick(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and len(rest):
-            yield pick(rest)
-
-    cols = rows.select("g", "side", "cls", "sketch", "n_shingles", "comp")
-    dealt = cols.repartition("g").sortWithinPartitions("g", F.col("side").desc(), "cls")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return _by_group(rows, pick, "a binary, b binary").distinct()
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, small: int = 1_000_000) -> DataFrame:
-    """The pairs whose full sets have a similarity of 0.75 or more. Sets are made of one document a class, and only of classes in pairs."""
+def _sets(need: DataFrame, docs: DataFrame, classes: DataFrame, size: int, small: int = 1_000_000) -> DataFrame:
+    """cls and shingles, a written table, of the classes in ``need`` (cls): made again from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, size) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    need = write_table(ends.join(classes.select("cls", "first_id"), "cls"), "set-owners")
-    ids = need.select(F.col("first_id").alias("doc_id")).distinct()
-    if need.count() <= small:  # at most 16 MB of ids
+    owners = write_table(need.join(classes.select("cls", "first_id"), "cls"), "set-owners")
+    ids = owners.select(F.col("first_id").alias("need_id")).distinct()
+    if owners.count() <= small:  # at most 16 MB of ids
         ids = F.broadcast(ids)
-    texts = docs.join(ids.withColumnRenamed("doc_id", "need_id"), F.expr("doc_id <=> need_id"), "left_semi").select("text")
-    sets = write_table(texts.mapInArrow(run, T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType(), True))])), "sets")
-    one = sets.join(need.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.any_value("shingles").alias("s"))
-    left = pairs.join(one.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(one.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    out = write_table(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
-    drop(sets, need)
+    texts = docs.join(ids, F.expr("doc_id <=> need_id"), "left_semi").select("text")
+    made = texts.mapInArrow(run, T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType(), True))]))
+    one = made.join(owners.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
+    out = write_table(one, "sets")
+    drop(owners)
     return out
 
 
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets have a similarity of 0.75 or more."""
+    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return write_table(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
+def _fine_sketches(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sketches = [fine_sketch(s.values.to_numpy().view(np.uint64)) for s in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches, pa.binary())], ["cls", "sketch"])
+
+    return sets.mapInArrow(run, "cls binary, sketch binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """cls, comp for every class in a link: connected components by alternating large and small stars until the edges stay as they are."""
     edges, seen = write_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "stars"), None
@@ -200,9 +248,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_components(docs: DataFrame, size: int = 5, trees: int = 12, leaf: int = 64, least: int = 32) -> DataFrame:
+def near_components(docs: DataFrame, size: int = 5, trees: int = 12, leaf: int = 64, least: int = 32, least_fine: int = 702) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = write_table(signatures(docs, size), "signatures")
     classes = write_table(
         signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")),
@@ -226,7 +274,9 @@ def near_components(docs: DataFrame, size: int = 5, trees: int = 12, leaf: int =
         # within a block members are compared with one another too
         rows = rows.withColumn("side", F.lit(2))
     tested = write_table(_candidates(rows.join(own, "cls"), False, least), "pairs")
-    links = _confirm(tested, docs, classes, size)
+    sets = _sets(_ends(tested), docs, classes, size)
+    links = _confirm(tested, sets)
+    drop(sets)
     comps = write_table(components(links), "components")
 
     # Nodes with several components: all pairs across them that haven't been tested.
@@ -246,10 +296,14 @@ def near_components(docs: DataFrame, size: int = 5, trees: int = 12, leaf: int =
         asked = marked.join(counts, "node").select("node", "block", "cls", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
         for side, t in enumerate((asking, asked)):
             rows = rows.unionByName(t.select(F.xxhash64("node", "block", "share").alias("g"), F.lit(side).alias("side"), "cls", "comp"))
-    more = write_table(_candidates(rows.join(own, "cls"), True, least).join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_confirm(more, docs, classes, size))
+    rows = write_table(_asking(rows.join(own, "cls"), least), "mixed-nodes")
+    if not rows.isEmpty():
+        sets = _sets(rows.select("cls").distinct(), docs, classes, size)
+        fine = write_table(_fine_sketches(sets).join(classes.select("cls", "n_shingles"), "cls"), "fine-sketches")
+        more = write_table(_candidates(rows.join(fine, "cls"), True, least_fine).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_confirm(more, sets))
         comps = write_table(components(links), "components")
+        drop(sets, fine)
     free_shuffles(spark)
 
     named = comps.join(classes.select("cls", "first_id"), "cls").groupBy("comp").agg(F.min("first_id").alias("component_id"))
@@ -265,4 +319,4 @@ def one_of_each(docs: DataFrame, **more) -> DataFrame:
     gone = write_table(near_components(docs, **more).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
     if gone.count() <= 1_000_000:  # at most 16 MB
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

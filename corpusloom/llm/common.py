@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
-        return found.rstrip("/")
+        return qualified(spark, found)
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
@@ -36,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the cluster's default file system, if it has none of its own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))

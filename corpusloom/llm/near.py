@@ -287,13 +287,16 @@ def near_components(docs: DataFrame, size: int = 5, trees: int = 12, leaf: int =
     mixed = marked.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
     rows = marked.join(mixed, "node", "left_semi").select(F.col("node").alias("g"), F.lit(2).alias("side"), "cls", "comp")
     if large is not None:
+        # All joins go by node and block: a node that holds a third of all classes is as many keys as it has blocks.
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
         marked = labelled(large)
-        lead = labelled(leaders.select("node", "cls")).select("node", F.col("comp").alias("lead"))
-        outside = marked.join(lead, "node").where(F.col("comp") != F.col("lead")).select("node", "cls", "comp", "blocks")
-        counts = outside.groupBy("node").agg(F.ceil(F.count("*") / leaf).cast("long").alias("shares"))
+        lead = labelled(leaders).select("node", F.col("comp").alias("lead"), blocks)
+        outside = marked.join(lead, ["node", "block"]).where(F.col("comp") != F.col("lead"))
+        counts = outside.groupBy("node").agg(F.ceil(F.count("*") / leaf).cast("long").alias("shares"), F.max("blocks").alias("blocks"))
+        counts = counts.select("node", "shares", blocks)
         share = F.pmod(F.xxhash64("cls", "node", F.lit("share")), F.col("shares"))
-        asking = outside.join(counts, "node").withColumn("share", share).select("node", "share", "cls", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        asked = marked.join(counts, "node").select("node", "block", "cls", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+        asking = outside.join(counts, ["node", "block"]).select("node", share.alias("share"), "cls", "comp", "blocks").select("node", "share", "cls", "comp", blocks)
+        asked = marked.join(counts, ["node", "block"]).select("node", "block", "cls", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
         for side, t in enumerate((asking, asked)):
             rows = rows.unionByName(t.select(F.xxhash64("node", "block", "share").alias("g"), F.lit(side).alias("side"), "cls", "comp"))
     rows = write_table(_asking(rows.join(own, "cls"), least), "mixed-nodes")

@@ -26,6 +26,8 @@ from corpusloom.llm.common import let, write_table
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Groups whose fences are broadcast at most, about 20 MB; beyond, rows are joined by a shuffle and salted.
+BROADCAST_GROUPS, SHARES = 100_000, 64
 #: feature: numerator, denominator, steps of its grid a unit, clamped top, least spread in steps, has a lower fence
 FEATURES = {
     "word_length": ("word_chars", "n_words", 100, 10_000, 50, True),
@@ -126,8 +128,13 @@ def _marked(docs: DataFrame, keep: list[str], min_group: int) -> DataFrame:
     """
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text", "lang", "source")
     features = write_table(with_features(rows).drop("text"), "features")
-    limits = fences(sketches(features), min_group)
-    marked = features.alias("f").join(limits.alias("t"), F.expr("f.lang <=> t.lang and f.source <=> t.source"), "left")
+    limits = write_table(fences(sketches(features), min_group), "fences")
+    if limits.count() <= BROADCAST_GROUPS:
+        marked = features.alias("f").join(F.broadcast(limits).alias("t"), F.expr("f.lang <=> t.lang and f.source <=> t.source"), "left")
+    else:  # a source may hold a third of all rows: each group's rows go to SHARES keys
+        shares = limits.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        rows = features.withColumn("share", F.pmod(F.xxhash64("k0", "n_words", "word_chars"), F.lit(SHARES)).cast("int"))
+        marked = rows.alias("f").join(shares.alias("t"), F.expr("f.lang <=> t.lang and f.source <=> t.source and f.share = t.share"), "left")
     sides = [_step(k) <= F.col(f"{k}_hi") for k in FEATURES] + [_step(k) >= F.col(f"{k}_lo") for k, f in FEATURES.items() if f[-1]]
     inside = F.coalesce(reduce(lambda a, b: a & b, sides), F.lit(True))
     return marked.withColumn("kept", ~F.col("base_failed") & inside)

@@ -16,7 +16,7 @@ def ordered(rows):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("more", [{}, {"leaf": 2}, {"trees": 3, "leaf": 1}])
+@pytest.mark.parametrize("more", [{}, {"leaf": 2, "block": 2}, {"trees": 20, "leaf": 1, "block": 3}])
 def test_near(odd_docs, more):
     assert ordered(near.near_components(odd_docs, **more).collect()) == ordered(brute.near_components(plain(odd_docs)))
 
@@ -63,6 +63,12 @@ def test_quality(odd_docs):
     assert kept.columns == odd_docs.columns and kept.where("doc_id = 1").first()["kept"] == "k"
 
 
+def test_quality_with_many_groups(odd_docs, monkeypatch):
+    want = ordered(quality.quality(odd_docs).collect())
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    assert ordered(quality.quality(odd_docs).collect()) == want
+
+
 def test_tokens_and_packing(odd_docs):
     n = {r["doc_id"]: r for r in tokens.token_counts(odd_docs, queries.tokenizer_path("piece_bpe_32k.model")).collect()}
     assert n[4]["n_tokens"] == n[5]["n_bytes"] == 0 and n[9]["over_limit"] and not n[7]["over_limit"]

@@ -50,6 +50,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on at most ``rows`` texts go to Python at once in this session: texts are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table: lineage ends here."""
     spark = df.sparkSession

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.common import short_batches
+
 WINDOW = 13
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("longest", T.LongType())])
@@ -195,6 +197,7 @@ def find_tests(docs: DataFrame, tests: DataFrame, window: int = WINDOW, block_by
     rest = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
     out = docs.select(F.struct(*rest).alias("doc"), "text", F.lit(None).cast(FOUND).alias("found"))
     schema = T.StructType([*out.schema.fields])
+    short_batches(spark)
     blocks = _blocks(tests, block_bytes)
     block = next(blocks)
     while block is not None:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import short_batches
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -343,4 +345,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
             lines = [None if t is None else t.count("\n") + bool(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(chars, pa.int64()), pa.array(lines, pa.int64())], ["page_id", "text", "text_chars", "n_lines"])
 
+    short_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, text string, text_chars long, n_lines long")

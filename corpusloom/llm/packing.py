@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop, write_table
+from corpusloom.llm.common import drop, short_batches, write_table
 
 #: Outside these code points two regex engines may class characters by different versions of Unicode.
 _PLAIN = re.compile("[^\x00-ɏ‐-‰€]")
@@ -149,8 +149,8 @@ def _packer(size: int, base: int):
 
 def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: int = 1024, end: int = 2, part_pieces: int = 200_000, rounds: int = 4) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    spark = docs.sparkSession
     packed_schema = PIECE + ", uid long, sequence_id long, offset long, settled boolean, bound long, bins long"
+    short_batches(docs.sparkSession)
     todo = write_table(pieces(docs, encoding, size, end), "pieces")
     histogram = todo.groupBy("length").count().collect()  # at most ``size`` rows
     counts = np.zeros(size + 1, np.int64)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.anchors import runs, shape
-from corpusloom.llm.common import free_shuffles, write_table
+from corpusloom.llm.common import free_shuffles, short_batches, write_table
 from corpusloom.llm.suffixsort import classes
 
 U = np.uint64
@@ -362,6 +362,7 @@ def _cutter(buckets: int, length: int, schema: T.StructType | None, names: list[
 def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, texts: bool = True) -> DataFrame:
     """texts: the documents with all their columns, text (and n_chars, if there) as what is left; else the contract's digests."""
     spark = docs.sparkSession
+    short_batches(spark)
     blocks = write_table(_blocks(docs if texts else docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), block_bytes), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop, join_hot, write_table
+from corpusloom.llm.common import join_hot, short_batches, write_table
 
 CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t]*\n\s*")}
 #: Consecutive sentences, each with the marks that end it.
@@ -79,6 +79,7 @@ def units(docs: DataFrame, unit: str, min_words: int, min_sentence: int) -> Data
 
 def removed_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
     """doc_id, row, unit, sentence, start, length of all that is removed, and kept_doc_id, kept_start of what stays for it. Sentences of a removed unit aren't listed."""
+    short_batches(docs.sparkSession)
     all_units = write_table(units(docs, unit, min_words, min_sentence), "units")
     place = F.struct("doc_id", "row", "start", "sentence")
     # Partial sums first: a digest that a third of all rows has reaches its reducer as a row a task.

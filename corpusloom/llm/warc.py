@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import join_hot, new_path, write_table
+from corpusloom.llm.common import join_hot, new_path, short_batches, write_table
 
 #: Fixed values of the published formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -114,6 +114,7 @@ def _types(pages: DataFrame, min_revisit: int) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int = 100, archive_bytes: int = 16 << 20, dictionary_bytes: int = 64 << 10, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write all pages; the manifest: archive, records, bytes, raw_bytes of each file."""
+    short_batches(pages.sparkSession)
     folder = folder or new_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

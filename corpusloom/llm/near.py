@@ -4,10 +4,10 @@
    are one class), its minwise tokens and a sketch of a byte of each.
 2. A tree branches the classes recursively: a node holds those that chose the same tokens along its
    path, and a node of more than ``leaf`` classes branches by its next token. ``trees`` trees choose
-   independent tokens. A pair of similarity s shares a first-level node of one of t trees with
-   probability 1 - (1 - s)^t: 1 - 6e-8 for s = 0.75 and t = 12.
+   independent tokens. A pair of similarity 0.75 that small first-level nodes hold meets in one of 16 trees
+   with probability 1 - 2e-10; one whose first-level nodes are all large, with 1 - 2e-6.
 3. Small nodes are compared exhaustively, sketch against sketch; sizes and sketches rule pairs out (a sketch drops
-   a true link with probability about 1e-6). A node that is still large at the last level holds
+   a true link with probability of a few millionths). A node that is still large at the last level holds
    classes that agree on all its tokens: it is cut into blocks, and its first class is
    compared with all. Of what passes, the best partners of each class and of each leader go on.
 4. Pairs are confirmed on the full sets; links give connected components by star contraction.
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import drop, free_shuffles, join_hot, write_table
+from corpusloom.llm.common import drop, free_shuffles, join_hot, short_batches, write_table
 from corpusloom.llm.shingles import U, mix, shingle_set
 
 HASHES = 64
-DEPTH = 5
+DEPTH = 2
 _rng = np.random.default_rng(20240607)
 _XOR, _MUL = (_rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1) for _ in range(2))
 FINE = 1024
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def grow_trees(classes: DataFrame, trees: int, leaf: int) -> list[DataFrame]:
-    """Tables of node, cls, n: the nodes of two to ``leaf`` classes, level by level; last the large nodes of the last level, if any."""
+    """Tables of node, cls, n, tree: the nodes of two to ``leaf`` classes, level by level; last the large nodes of the last level, if any."""
     token = lambda tree, i: F.substring(F.col("mins"), 4 * ((tree + i * trees) % HASHES) + 1, F.lit(4))
     first = F.array(*[F.xxhash64(F.lit(t), token(F.lit(t), 0)) for t in range(trees)])
     # A node's key is its tree and the tokens chosen so far. Only classes of large nodes get deeper keys.
@@ -92,14 +92,14 @@ def grow_trees(classes: DataFrame, trees: int, leaf: int) -> list[DataFrame]:
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         nodes = write_table(rows.join(sizes, "node"), f"nodes-{level}")
         large = nodes.where(F.col("n") > leaf)
-        out.append(nodes.where(F.col("n") <= leaf).select("node", "cls", "n"))
+        out.append(nodes.where(F.col("n") <= leaf).select("node", "cls", "n", "tree"))
         if large.isEmpty():
             return out
         if level == 1:
             rows = large.select("cls", "tree").join(classes.select("cls", "mins"), "cls").select("cls", "tree", deeper.alias("keys"))
         if level < DEPTH:
             rows = (rows if level == 1 else large).select("cls", "tree", "keys", F.col("keys")[level - 1].alias("node"))
-    return [*out, large.select("node", "cls", "n")]
+    return [*out, large.select("node", "cls", "n", "tree")]
 
 
 def compare(g: np.ndarray, sketch: np.ndarray, n: np.ndarray, side: np.ndarray, comp: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +122,7 @@ def compare(g: np.ndarray, sketch: np.ndarray, n: np.ndarray, side: np.ndarray,
 
 
 def _by_group(rows: DataFrame, pick, schema: str) -> DataFrame:
-    """``pick`` over tables of whole groups g of rows (g, side, cls, sketch, n_shingles, comp), asking sides first."""
+    """``pick`` over tables of whole groups g of rows (g, side, cls, sketch, n_shingles, comp, tree, mins), asking sides first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -137,7 +137,7 @@ def _by_group(rows: DataFrame, pick, schema: str) -> DataFrame:
         if rest is not None and len(rest):
             yield pick(rest)
 
-    cols = rows.select("g", "side", "cls", "sketch", "n_shingles", "comp")
+    cols = rows.select("g", "side", "cls", "sketch", "n_shingles", "comp", "tree", "mins")
     return cols.repartition("g").sortWithinPartitions("g", F.col("side").desc(), "cls").mapInArrow(run, schema)
 
 
@@ -149,21 +149,22 @@ def _found(t: pa.Table, across: bool, least: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _asking(rows: DataFrame, least: int) -> DataFrame:
-    """The rows (g, side, cls, comp) that sketches allow a link to another component, so that only these need finer ones."""
+    """The rows (g, side, cls, comp, tree) that sketches allow a link to another component, so that only these need finer ones."""
 
     def pick(t: pa.Table) -> pa.RecordBatch:
         i, j, _ = _found(t, True, least)
         use = np.unique(np.concatenate([i, j]))
-        return t.select(["g", "side", "cls", "comp"]).take(pa.array(use)).combine_chunks().to_batches()[0] if len(use) else pa.RecordBatch.from_pylist([], t.select(["g", "side", "cls", "comp"]).schema)
+        return t.select(["g", "side", "cls", "comp", "tree"]).take(pa.array(use)).combine_chunks().to_batches()[0] if len(use) else pa.RecordBatch.from_pylist([], t.select(["g", "side", "cls", "comp", "tree"]).schema)
 
-    return _by_group(rows, pick, "g long, side int, cls binary, comp binary")
+    return _by_group(rows, pick, "g long, side int, cls binary, comp binary, tree int")
 
 
-def _candidates(rows: DataFrame, across: bool, least: int) -> DataFrame:
+def _candidates(rows: DataFrame, across: bool, least: int, trees: int) -> DataFrame:
     """Candidate pairs a < b.
 
     Sides 0 and 1 are compared with each other, side 2 with all. across: all pairs of different
-    components; else the best partner of each row, and all of its group's first row.
+    components, each from the first tree whose whole path the two share (or from wherever they meet, if
+    they share none); else the best partner of each row, and all of its group's first row.
     """
 
     def pick(t: pa.Table) -> pa.RecordBatch:
@@ -177,6 +178,12 @@ def _candidates(rows: DataFrame, across: bool, least: int) -> DataFrame:
             best = other[order[np.concatenate([[True], np.diff(who[order]) > 0])]]
             use = np.unique(np.concatenate([best, np.flatnonzero(first[i])]))
             i, j = i[use], j[use]
+        if across and len(i):
+            mins = np.frombuffer(b"".join(t.column("mins").to_pylist()), "<u4").reshape(len(t), HASHES)
+            equal = mins[i] == mins[j]
+            whole = np.all([equal[:, [(k + level * trees) % HASHES for k in range(trees)]] for level in range(DEPTH)], 0)
+            own = ~whole.any(1) | (whole.argmax(1) == t.column("tree").to_numpy()[i])
+            i, j = i[own], j[own]
         a, b = cls[i], cls[j]
         ok = a != b
         swap = a > b
@@ -248,9 +255,10 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_components(docs: DataFrame, size: int = 5, trees: int = 12, leaf: int = 64, least: int = 32, least_fine: int = 702) -> DataFrame:
+def near_components(docs: DataFrame, size: int = 5, trees: int = 16, leaf: int = 64, block: int = 512, least: int = 32, least_fine: int = 702) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    short_batches(spark)
     signed = write_table(signatures(docs, size), "signatures")
     classes = write_table(
         signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")),
@@ -261,19 +269,19 @@ def near_components(docs: DataFrame, size: int = 5, trees: int = 12, leaf: int =
     for t in levels[1:DEPTH]:
         small = small.unionByName(t)
     large = levels[DEPTH] if len(levels) > DEPTH else None
-    own = classes.select("cls", "sketch", "n_shingles")
+    own = classes.select("cls", "sketch", "n_shingles", "mins")
     blank = F.lit(None).cast("binary")
-    rows = small.select(F.col("node").alias("g"), F.lit(2).alias("side"), "cls", blank.alias("comp"))
+    rows = small.select(F.col("node").alias("g"), F.lit(2).alias("side"), "cls", blank.alias("comp"), "tree")
     if large is not None:
-        large = large.withColumns({"blocks": F.ceil(F.col("n") / leaf).cast("long")})
+        large = large.withColumns({"blocks": F.ceil(F.col("n") / block).cast("long")})
         large = write_table(large.withColumn("block", F.pmod(F.xxhash64("cls", "node"), F.col("blocks"))), "large-nodes")
-        leaders = write_table(large.groupBy("node").agg(F.min("cls").alias("cls"), F.max("blocks").alias("blocks")), "leaders")
-        spread = leaders.select("node", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        rows = rows.unionByName(large.select(F.xxhash64("node", "block").alias("g"), F.lit(1).alias("side"), "cls", blank.alias("comp")))
-        rows = rows.unionByName(spread.select(F.xxhash64("node", "block").alias("g"), F.lit(2).alias("side"), "cls", blank.alias("comp")))
+        leaders = write_table(large.groupBy("node").agg(F.min("cls").alias("cls"), F.max("blocks").alias("blocks"), F.max("tree").alias("tree")), "leaders")
+        spread = leaders.select("node", "cls", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        rows = rows.unionByName(large.select(F.xxhash64("node", "block").alias("g"), F.lit(1).alias("side"), "cls", blank.alias("comp"), "tree"))
+        rows = rows.unionByName(spread.select(F.xxhash64("node", "block").alias("g"), F.lit(2).alias("side"), "cls", blank.alias("comp"), "tree"))
         # within a block members are compared with one another too
         rows = rows.withColumn("side", F.lit(2))
-    tested = write_table(_candidates(rows.join(own, "cls"), False, least), "pairs")
+    tested = write_table(_candidates(rows.join(own, "cls"), False, least, trees), "pairs")
     sets = _sets(_ends(tested), docs, classes, size)
     links = _confirm(tested, sets)
     drop(sets)
@@ -285,25 +293,25 @@ def near_components(docs: DataFrame, size: int = 5, trees: int = 12, leaf: int =
 
     marked = labelled(small)
     mixed = marked.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    rows = marked.join(mixed, "node", "left_semi").select(F.col("node").alias("g"), F.lit(2).alias("side"), "cls", "comp")
+    rows = marked.join(mixed, "node", "left_semi").select(F.col("node").alias("g"), F.lit(2).alias("side"), "cls", "comp", "tree")
     if large is not None:
         # All joins go by node and block: a node that holds a third of all classes is as many keys as it has blocks.
         blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
         marked = labelled(large)
         lead = labelled(leaders).select("node", F.col("comp").alias("lead"), blocks)
         outside = marked.join(lead, ["node", "block"]).where(F.col("comp") != F.col("lead"))
-        counts = outside.groupBy("node").agg(F.ceil(F.count("*") / leaf).cast("long").alias("shares"), F.max("blocks").alias("blocks"))
+        counts = outside.groupBy("node").agg(F.ceil(F.count("*") / block).cast("long").alias("shares"), F.max("blocks").alias("blocks"))
         counts = counts.select("node", "shares", blocks)
         share = F.pmod(F.xxhash64("cls", "node", F.lit("share")), F.col("shares"))
-        asking = outside.join(counts, ["node", "block"]).select("node", share.alias("share"), "cls", "comp", "blocks").select("node", "share", "cls", "comp", blocks)
-        asked = marked.join(counts, ["node", "block"]).select("node", "block", "cls", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+        asking = outside.join(counts, ["node", "block"]).select("node", share.alias("share"), "cls", "comp", "tree", "blocks").select("node", "share", "cls", "comp", "tree", blocks)
+        asked = marked.join(counts, ["node", "block"]).select("node", "block", "cls", "comp", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
         for side, t in enumerate((asking, asked)):
-            rows = rows.unionByName(t.select(F.xxhash64("node", "block", "share").alias("g"), F.lit(side).alias("side"), "cls", "comp"))
+            rows = rows.unionByName(t.select(F.xxhash64("node", "block", "share").alias("g"), F.lit(side).alias("side"), "cls", "comp", "tree"))
     rows = write_table(_asking(rows.join(own, "cls"), least), "mixed-nodes")
     if not rows.isEmpty():
         sets = _sets(rows.select("cls").distinct(), docs, classes, size)
-        fine = write_table(_fine_sketches(sets).join(classes.select("cls", "n_shingles"), "cls"), "fine-sketches")
-        more = write_table(_candidates(rows.join(fine, "cls"), True, least_fine).join(tested, ["a", "b"], "left_anti"), "pairs")
+        fine = write_table(_fine_sketches(sets).join(classes.select("cls", "n_shingles", "mins"), "cls"), "fine-sketches")
+        more = write_table(_candidates(rows.join(fine, "cls"), True, least_fine, trees).join(tested, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(_confirm(more, sets))
         comps = write_table(components(links), "components")
         drop(sets, fine)

@@ -6,8 +6,8 @@ are also copied into the midst of lines. Digests are grouped over the whole corp
 ones the occurrence ranked first by (doc_id, row, start) stays, and the others are removed. What is
 removed keeps its place in the original text: number of its unit, start and length in code points.
 
-Units of fewer than ``min_words`` words and sentences of fewer than ``min_sentence`` are no
-duplicates: short ones are equal by chance.
+Every unit and sentence that isn't blank is digested, in any script. ``min_words`` and ``min_sentence``
+leave out those of fewer words, cut at blanks; a line of a script without blanks is one word.
 
 Defined results: null or empty text has no units; a null doc_id ranks first; repeated rows are
 documents of their own, later ones lose their units; an empty table gives no rows.
@@ -77,7 +77,7 @@ def units(docs: DataFrame, unit: str, min_words: int, min_sentence: int) -> Data
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, UNITS)
 
 
-def removed_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
+def removed_units(docs: DataFrame, unit: str = "line", min_words: int = 1, min_sentence: int = 1) -> DataFrame:
     """doc_id, row, unit, sentence, start, length of all that is removed, and kept_doc_id, kept_start of what stays for it. Sentences of a removed unit aren't listed."""
     short_batches(docs.sparkSession)
     all_units = write_table(units(docs, unit, min_words, min_sentence), "units")
@@ -107,7 +107,7 @@ def without_units(text: str, gone: list[tuple[int, int]], unit: str) -> str:
     return ("\n" if unit == "line" else "\n\n").join(out)
 
 
-def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 1, min_sentence: int = 1) -> DataFrame:
     """doc_id, text without its removed units, and removed, the original (start, length) of each, of every document."""
     stored = write_table(docs.select(F.col("doc_id").cast("long"), "text"), "unit-texts")
     gone = write_table(removed_units(stored, unit, min_words, min_sentence), "removed-units")

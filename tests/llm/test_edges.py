@@ -98,6 +98,13 @@ def test_a_passage_inside_a_line(spark):
     assert out == {1: f"One begins so. {inner} Ends.", 2: "Two is another.\nHere begins a line. And more!", 3: "Nothing shared here, all these words are on their own."}
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    zh = "这一行没有空格也是重复的内容"
+    docs = spark.createDataFrame([(1, f"Read more\n{zh}\nfirst"), (2, f"READ  more\nsecond\n{zh}"), (3, "Third here. So it goes. Its end"), (4, "Fourth there. So it goes. Another end")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in units.dedup_units(docs).collect()}
+    assert out == {1: f"Read more\n{zh}\nfirst", 2: "second", 3: "Third here. So it goes. Its end", 4: "Fourth there. Another end"}
+
+
 def test_empty_tables(odd_docs):
     none = odd_docs.limit(0)
     for f in (near.near_components, suffixes.substring_dedup, quality.quality, units.removed_units, lambda d: packing.pack(d, queries.byte_bpe()), lambda d: tokens.token_counts(d, queries.tokenizer_path("piece_bpe_32k.model"))):

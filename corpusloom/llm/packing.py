@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,7 @@ def _packer(size: int, base: int):
     return run
 
 
-def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: int = 1024, end: int = 2, part_pieces: int = 200_000, rounds: int = 4) -> DataFrame:
+def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: int = 1024, end: int = 2, part_pieces: int = 200_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     packed_schema = PIECE + ", uid long, sequence_id long, offset long, settled boolean, bound long, bins long"
     short_batches(docs.sparkSession)
@@ -156,12 +157,12 @@ def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: in
     counts = np.zeros(size + 1, np.int64)
     for r in histogram:
         counts[r["length"]] += r["count"]
-    least, n, done, spent, best = lower_bound(counts, size), int(counts.sum()), [], 0, None
-    for round_ in range(rounds):
+    least, n, done, spent, best, base = lower_bound(counts, size), int(counts.sum()), [], 0, None, 0
+    for round_ in count():  # each one saves a bin at least, or is the last
         parts = max(1, -(-n // part_pieces))
         # Random partitions of many documents look alike, so each one's bins fill nearly as well as the whole's.
         dealt = todo.select(*NAMES).withColumn("part", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)))
-        packed = write_table(dealt.groupBy("part").applyInArrow(_packer(size, round_ << 24), packed_schema), "packed")
+        packed = write_table(dealt.groupBy("part").applyInArrow(_packer(size, base), packed_schema), "packed")
         total = packed.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound"), F.sum(F.when(~F.col("settled"), F.col("bins"))).alias("open"), F.count(F.when(~F.col("settled"), 1)).alias("n")).first()
         bins = spent + (total["bins"] or 0)
         if best is not None and bins >= best:
@@ -173,7 +174,7 @@ def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: in
         done += [packed.where("settled"), packed.where("not settled")]
         if bins <= least or not total["n"] or total["bins"] == total["bound"] or parts == 1:
             break
-        spent, n = bins - total["open"], total["n"]
+        spent, n, base = bins - total["open"], total["n"], base + parts
         todo = packed.where("not settled")
     out = done[0]
     for d in done[1:]:

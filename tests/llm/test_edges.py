@@ -81,6 +81,25 @@ def test_tokens_and_packing(odd_docs):
     assert (p.sort_values("offset")["offset"] == g.cumsum() - p.sort_values("offset")["length"]).all()
 
 
+def test_packing_exchanges_until_no_bin_is_saved(spark, monkeypatch):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('a ', cast(10 + pmod(xxhash64(id), 20) AS int)) AS text")
+    totals, spent, write = [], 0, packing.write_table
+
+    def counted(df, name):
+        nonlocal spent
+        out = write(df, name)
+        if name == "packed":
+            bins, final = out.selectExpr("sum(bins)", "coalesce(sum(bins) FILTER (WHERE settled), 0)").first()
+            totals.append(spent + bins)
+            spent += final
+        return out
+
+    monkeypatch.setattr(packing, "write_table", counted)
+    p = packing.pack(docs, queries.byte_bpe(), size=64, part_pieces=20).toPandas()
+    assert len(totals) > 4 and totals[-1] == totals[-2] == p["sequence_id"].nunique() < totals[3]
+    assert len(p) == 6000 and (p.groupby("sequence_id")["length"].sum() <= 64).all()
+
+
 def test_units(odd_docs):
     gone = units.removed_units(odd_docs).collect()
     assert sum(r["doc_id"] == 13 for r in gone) == 11 and any(r["doc_id"] == 12 for r in gone)

@@ -3,7 +3,8 @@
 Pages become WARC/1.1 records: of equal payloads of at least ``min_revisit`` bytes the one of
 the smallest page_id is a response and the others revisit it. An executor gathers records up
 to ``archive_bytes``, trains a Zstandard dictionary on them, and writes a ``.warc.zst`` file: a
-skippable frame with the (compressed) dictionary, then each record as a frame of its own.
+skippable frame with the (compressed) dictionary, then each record as a frame of its own. Where
+training fails, the dictionary is made of the records' own bytes.
 
 A task writes under a name of its own attempt and reports it; only files that the written manifest
 lists count, so lost executors and repeated tasks leave no double records. Files
@@ -59,17 +60,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def archive(records: list[bytes], dictionary_bytes: int, level: int) -> bytes:
-    """A whole ``.warc.zst``; too few or too small records go without a dictionary."""
+    """A whole ``.warc.zst``; too few or too small records to train on have the last of their own bytes as a raw dictionary."""
     import zstandard
 
-    out, trained = io.BytesIO(), None
+    out = io.BytesIO()
     try:
         trained = zstandard.train_dictionary(min(dictionary_bytes, max(256, sum(map(len, records)) // 100)), records, level=level)
     except zstandard.ZstdError:
-        pass
-    if trained is not None:
-        packed = zstandard.ZstdCompressor(level=level).compress(trained.as_bytes())
-        out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
+        trained = zstandard.ZstdCompressionDict(b"".join(records)[-dictionary_bytes:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    packed = zstandard.ZstdCompressor(level=level).compress(trained.as_bytes())
+    out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
     one = zstandard.ZstdCompressor(level=level, dict_data=trained)
     for r in records:
         out.write(one.compress(r))

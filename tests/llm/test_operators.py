@@ -117,6 +117,14 @@ def test_an_archive_is_frames_behind_a_dictionary():
         list(warc.parse(warc.archive([b"nonsense\r\n"], 1024, 3)))
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_an_archive_of_few_records_has_a_dictionary(n):
+    records = [warc.record(k, f"http://h/{k}", b"", "00", 1, "revisit", "2024-01-01T00:00:00Z") for k in range(n)]
+    data = warc.archive(records, 16 << 10, 3)
+    assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
+    assert [int(h["WARC-Record-ID"].strip("<>").rpartition(":")[2]) for h, _ in warc.parse(data)] == list(range(n))
+
+
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><h1>Head</h1>a  b<br>c<ul><li>one<li>two<ol start=3><li>x<li>y</ol></ul>
 <p>foo<p hidden>no</p><div style="display: none">no</div><table><caption>Cap</caption><tr><th>Name<th>Qty<tr><td>apple &amp; pear<td>10<tr><td rowspan=2>r<td>1<tr><td>2</table>
 <pre>

@@ -2,7 +2,8 @@
 
 A tree builder reads tags, adds the ones that markup may leave out (ends of p, li, dt, dd,
 tr, td, option and the like; rows around bare cells), and drops what isn't shown: scripts,
-styles, templates, the head, hidden elements and those styled away. The tree is then laid
+styles, templates, the head, hidden elements and those styled away. Labels of drawings, tokens of
+formulas and what stands in for an object are text; fallbacks of scripts, frames, media and canvases aren't. The tree is then laid
 out: inline text flows with blanks collapsed, blocks stand apart, lists get markers and
 indents, preformatted text keeps its lines, and cells of a table are set in aligned columns.
 
@@ -29,10 +30,13 @@ from corpusloom.llm.common import short_batches
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head title script style template noscript noframes noembed iframe object audio video canvas svg math datalist param link meta area base col colgroup source track".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul optgroup option caption thead tbody tfoot tr td th".split())
-SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir form".split())
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section summary table ul".split())
+UNSEEN = frozenset("head title script style template noscript noframes noembed iframe audio video canvas datalist param link meta area base col colgroup source track".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul optgroup option caption thead tbody tfoot tr td th xmp".split())
+SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir form xmp".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section summary table ul xmp".split())
+#: The text of drawings and formulas is in these elements (of formulas, bare text too), not in those of UNDRAWN.
+DRAWN = {"svg": frozenset(["text", "foreignobject"]), "math": frozenset("mi mn mo ms mtext".split())}
+UNDRAWN = frozenset("annotation annotation-xml clippath defs desc marker mask metadata mphantom pattern symbol".split())
 #: A start tag in the first set ends open elements of the second, not beyond those of the third.
 IMPLIED = (
     (frozenset(["li"]), frozenset(["li"]), frozenset("ul ol menu dir table td th body".split())),
@@ -47,7 +51,7 @@ CELL_STOPS = frozenset("table td th caption body html".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-NEEDED = re.compile(r"hidden|style|colspan|rowspan|start|type|value|open", re.I)
+NEEDED = re.compile(r"hidden|style|colspan|rowspan|start|type|value|open|display|visibility", re.I)
 AWAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 
@@ -133,12 +137,16 @@ def build(html: str) -> Node:
             count["tr"] += 1
         node = Node(tag, _attributes(m[3]))
         stack[-1].children.append(node)
-        if tag in VOID or (m[3].endswith("/") and tag in ("svg", "math", "path")):
+        foreign = tag in DRAWN or ((count["svg"] or count["math"]) and not count["foreignobject"])
+        if foreign and (tag in UNDRAWN or (a := node.attrs or {}).get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+            node.attrs = {"hidden": ""}
+        if tag in VOID or (m[3].endswith("/") and (foreign or tag == "path")):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
-            if tag == "textarea":
-                node.children.append(unescape(html[at : stop.start() if stop else size]))
+            if tag in ("textarea", "xmp"):
+                inner = html[at : stop.start() if stop else size]
+                node.children.append(unescape(inner) if tag == "textarea" else inner)
             at = stop.end() if stop else size
             continue
         if tag == "head":
@@ -155,6 +163,22 @@ def shown(node: Node) -> bool:
     return not a or not ("hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or AWAY.search(a.get("style", "")) or (node.tag == "dialog" and "open" not in a))
 
 
+def drawn(node: Node) -> list[Node | str]:
+    """What a drawing or formula shows as text, with blanks between."""
+    out: list[Node | str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            if node.tag == "math" and not n.isspace():
+                out += [" ", n]
+        elif n.tag in DRAWN[node.tag]:
+            out += [" ", n]
+        elif shown(n):
+            todo += reversed(n.children)
+    return out[1:]
+
+
 class Page:
     """Lines of text under layout: a current line, the space wanted before the next one, and an indent."""
 
@@ -271,6 +295,9 @@ def render(html: str) -> str:
                 if (node.attrs or {}).get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
                     page.text(f" {(node.attrs or {}).get('value', '')} ")
                 continue
+            if tag in DRAWN:
+                walk += [(c, False) for c in reversed(drawn(node))]
+                continue
             walk.append((node, True))
             if tag == "table":
                 page.block(1)
@@ -294,7 +321,7 @@ def render(html: str) -> str:
                     page.marker = mark
                 elif tag in ("blockquote", "dd"):
                     page.indent.append("    " if tag == "dd" else "  ")
-                elif tag in ("pre", "listing"):
+                elif tag in ("pre", "listing", "xmp"):
                     pre += 1
             if tag == "pre" and node.children and isinstance(node.children[0], str):
                 node.children[0] = node.children[0].removeprefix("\n")
@@ -318,7 +345,7 @@ def render(html: str) -> str:
                     tables[-1].append([])
                 tables[-1][-1].append((lines, _number(node, "colspan", 1) or 1, _number(node, "rowspan", 1) or 1))
         elif tag in BLOCK:
-            if tag in ("pre", "listing"):
+            if tag in ("pre", "listing", "xmp"):
                 pre -= 1
                 if "".join(page.line).strip():
                     page.put("".join(page.line))

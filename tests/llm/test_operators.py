@@ -181,6 +181,22 @@ def test_markup(page, shown):
     assert html.render(page) == shown
 
 
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("so (<math><mi>x</mi><mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac></math>) holds", "so (x = 1 2) holds"),
+        ("<math><semantics><mi>y</mi><annotation encoding='application/x-tex'>\\y</annotation></semantics></math>", "y"),
+        ("a <svg><title>no</title><desc>no</desc><defs/><g>no<circle r=1 /><text x=1>Label<tspan> one</tspan></text><text>two</text></g></svg> b", "a Label one two b"),
+        ("<svg display='none'><text>no</text></svg><svg><defs><text>no</text></defs><text visibility='hidden'>no</text><foreignObject><p>in</p></foreignObject></svg>", "in"),
+        ("a<object data=x><param name=y>instead</object>", "ainstead"),
+        ("a<xmp>if <b> &amp; c\n  d</xmp>e", "a\n\nif <b> &amp; c\n  d\n\ne"),
+        ("a<noscript>no</noscript><canvas>no</canvas>", "a"),
+    ],
+)
+def test_formulas_drawings_objects_and_listings(page, shown):
+    assert html.render(page) == shown
+
+
 def test_deep_and_broken_markup_ends():
     assert html.render("<div>" * 50_000 + "x") == "x"
     assert html.render("<p " * 20_000) == "" and html.render("<td>" * 3_000 + "y").strip() == "y"

@@ -409,8 +409,8 @@ def result_union(spark, sf_dir):
 
 @query()
 def train_embeddings(spark, sf_dir):
-    """Two epochs of the whole corpus at 16 dimensions; a row a word."""
-    c = EmbeddingConfig(owners=OWNERS, dimensions=16, epochs=2)
+    """All epochs and dimensions of the operator's defaults over the whole corpus; a row a word."""
+    c = EmbeddingConfig(owners=OWNERS)
     weights = TR.train(_docs(spark, sf_dir), c)
     return weights.select("word", "owner", "global_idx", F.round(V.norm(F.col("in_w")), 6).alias("in_norm"), F.round(V.norm(F.col("out_w")), 6).alias("out_norm"))
 

@@ -58,3 +58,12 @@ def test_two_topics_come_apart(spark):
 def test_nothing_to_train(spark):
     docs = spark.createDataFrame([(1, None), (2, "a")], "doc_id long, text string")
     assert train(docs, EmbeddingConfig(dimensions=2, epochs=1, owners=2)).select(F.col("word")).count() == 0
+
+
+def test_the_query_trains_with_all_epochs_and_dimensions(spark, monkeypatch):
+    from corpusloom import queries
+
+    seen, run = [], queries.TR.train
+    monkeypatch.setattr(queries.TR, "train", lambda docs, c: seen.append(c) or run(docs.limit(20), EmbeddingConfig(owners=c.owners, dimensions=4, epochs=1)))
+    queries.QUERIES["train_embeddings"](spark, "/root/testdata/sf0.001")
+    assert (seen[0].dimensions, seen[0].epochs) == (EmbeddingConfig().dimensions, EmbeddingConfig().epochs) == (100, 10)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import let
+
 HEAD, SEP, END = "### ", ": ", "</turn>\n"
 #: What is escaped, by a backslash before it: nothing; what the parser would misread; every character of a control string.
 LEVELS = (None, r"(\\|(?<=<)/(?=turn>)|(?<=##)#)", r"([\\/#:])")
@@ -38,12 +40,21 @@ def _render(role: Column, text: Column, level: int) -> Column:
 
 
 def _parse_chunk(chunk: Column) -> Column:
-    """struct(role, text, raw_text, ok) of what stood before one ``</turn>\\n``."""
-    pattern = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$"
-    raw = F.regexp_extract(chunk, pattern, 2)
-    bare = F.regexp_replace(F.substring(chunk, len(HEAD) + 1, 1 << 30), _ESCAPED, "")
-    ok = chunk.rlike(pattern) & ~bare.contains("###") & ~bare.contains("</turn>")
-    return F.struct(_unescape(F.regexp_extract(chunk, pattern, 1)).alias("role"), _unescape(raw).alias("text"), raw.alias("raw"), ok.alias("ok"))
+    """struct(role, text, raw, ok) of what stood before one ``</turn>\\n``.
+
+    The role ends at the first colon that isn't escaped. It is found by place in a copy whose escapes are blanked out
+    to the same length, so no pattern repeats a group, which Java's matcher would do by recursion.
+    """
+    blanked = F.regexp_replace(chunk, r"(?s)\\.", "__")
+
+    def cut(s: Column) -> Column:
+        head, at = len(HEAD), F.instr(s["blanked"], ":")
+        role, raw = F.substring(s["chunk"], F.lit(head + 1), at - (head + 1)), F.substring(s["chunk"], at + len(SEP), F.length(s["chunk"]))
+        bare = F.regexp_replace(F.substring(s["chunk"], F.lit(head + 1), F.length(s["chunk"])), _ESCAPED, "")
+        ok = s["chunk"].startswith(HEAD) & (at > head) & (F.substring(s["blanked"], at, F.lit(len(SEP))) == SEP) & ~bare.contains("###") & ~bare.contains("</turn>")
+        return F.struct(_unescape(role).alias("role"), _unescape(raw).alias("text"), raw.alias("raw"), ok.alias("ok"))
+
+    return let(F.struct(chunk.alias("chunk"), blanked.alias("blanked")), cut)
 
 
 def _chunks(formatted: Column) -> Column:

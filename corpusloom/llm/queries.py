@@ -143,20 +143,22 @@ FROM gone WHERE NOT sentence OR parts
 
 
 def _op5() -> str:
-    """Quality rules; the grids and fences of quality.FEATURES written out."""
+    """Quality rules; the sketches' steps and the fences written out."""
     blanks = r"[\x20\x09-\x0D]"
     f = quality.FEATURES
-    steps = ", ".join(f"least({most}, coalesce(({grid} * {top}) // nullif({bottom}, 0), 0)) AS {k}" for k, (top, bottom, grid, most, *_) in f.items())
-    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {k} AS step FROM steps WHERE NOT base_failed" for k in f)
-    least = " ".join(f"WHEN '{k}' THEN {x[4]}" for k, x in f.items())
+    values = ", ".join(f"coalesce(({units} * {top}) // nullif({bottom}, 0), 0) AS {k}" for k, (top, bottom, units, _) in f.items())
+    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {k} AS v FROM vals WHERE NOT base_failed" for k in f)
 
     def level(name: str, keys: str) -> str:
         by = f"{keys}, feature" if keys else "feature"
+        ranks = f"count(*) OVER (PARTITION BY {by}) AS size, count(*) OVER (PARTITION BY {by} ORDER BY step) AS below, count(*) FILTER (step = 0) OVER (PARTITION BY {by}) AS zeros"
+        least = lambda ok: f"min(step) FILTER ({ok})"
         return f"""{name} AS (
-  SELECT {by}, max(size) AS size, min(step) FILTER (below * 4 >= size) AS q1, min(step) FILTER (below * 4 >= 3 * size) AS q3
-  FROM (SELECT {by}, step, count(*) OVER (PARTITION BY {by}) AS size, count(*) OVER (PARTITION BY {by} ORDER BY step) AS below FROM each_) GROUP BY {by})"""
+  SELECT {by}, max(size) AS n, max(size - zeros) AS some, {least("below * 4 >= size")} AS q1, {least("below * 4 >= 3 * size")} AS q3,
+    coalesce({least("step > 0 AND (below - zeros) * 4 >= size - zeros")}, 0) AS s1, coalesce({least("step > 0 AND (below - zeros) * 4 >= 3 * (size - zeros)")}, 0) AS s3
+  FROM (SELECT {by}, step, {ranks} FROM each_) GROUP BY {by})"""
 
-    pick = lambda q: f"CASE WHEN a.size >= 200 THEN a.{q} WHEN b.size >= 200 THEN b.{q} ELSE c.{q} END"
+    drawn = lambda a, b: ", ".join(f"({a}.{n} * {a}.{q} + 200 * {b}.{q}) // ({a}.{n} + 200) AS {q}" for n, q in (("n", "q1"), ("n", "q3"), ("some", "s1"), ("some", "s3")))
     inside = " AND ".join([f"s.{k} <= l.{k}_hi" for k in f] + [f"s.{k} >= l.{k}_lo" for k, x in f.items() if x[-1]])
     tops = ", ".join([f"max(q3 + w) FILTER (feature = '{k}') AS {k}_hi, max(q1 - w) FILTER (feature = '{k}') AS {k}_lo" for k in f])
     return f"""
@@ -172,21 +174,20 @@ WITH d AS (
   SELECT d.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '{blanks}', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
   FROM d LEFT JOIN r ON d.doc_id = r.doc_id
-), steps AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {steps} FROM facts
-), each_ AS ({each}),
+), vals AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {values} FROM facts
+), each_ AS (SELECT lang, source, feature, v - v % (1::BIGINT << greatest(length(bin(v)) - 9, 0)) AS step FROM ({each})),
 {level("own", "lang, source")},
 {level("bylang", "lang")},
 {level("whole", "")},
-picked AS (
-  SELECT a.lang, a.source, a.feature, {pick("q1")} AS q1, {pick("q3")} AS q3
-  FROM own a LEFT JOIN bylang b ON a.lang IS NOT DISTINCT FROM b.lang AND a.feature = b.feature LEFT JOIN whole c ON a.feature = c.feature
-), limits AS (
-  SELECT lang, source, {tops} FROM (SELECT *, 3 * greatest(q3 - q1, CASE feature {least} END) AS w FROM picked) GROUP BY lang, source
+langs AS (SELECT b.lang, b.feature, {drawn("b", "c")} FROM bylang b JOIN whole c ON b.feature = c.feature),
+picked AS (SELECT a.lang, a.source, a.feature, {drawn("a", "b")} FROM own a JOIN langs b ON a.lang IS NOT DISTINCT FROM b.lang AND a.feature = b.feature),
+limits AS (
+  SELECT lang, source, {tops} FROM (SELECT *, greatest(3 * (q3 - q1), 3 * (s3 - s1) // 2) AS w FROM picked) GROUP BY lang, source
 )
 SELECT s.doc_id, cast(n_words AS BIGINT) AS n_words, cast(word_chars AS BIGINT) AS word_chars, cast(n_symbols AS BIGINT) AS n_symbols, cast(n_dup_lines AS BIGINT) AS n_dup_lines,
   cast(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce({inside}, true) AS kept
-FROM steps s LEFT JOIN limits l ON s.lang IS NOT DISTINCT FROM l.lang AND s.source IS NOT DISTINCT FROM l.source
+FROM vals s LEFT JOIN limits l ON s.lang IS NOT DISTINCT FROM l.lang AND s.source IS NOT DISTINCT FROM l.source
 """
 
 

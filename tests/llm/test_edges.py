@@ -53,7 +53,7 @@ def test_contamination(spark, odd_docs):
 
 
 def test_quality(odd_docs):
-    rows = quality.quality(odd_docs, min_group=1).collect()
+    rows = quality.quality(odd_docs, weight=1).collect()
     by = {r["doc_id"]: r for r in rows}
     assert len(rows) == odd_docs.count()
     assert by[4]["n_words"] == by[5]["n_words"] == by[6]["n_words"] == 0 and by[4]["base_failed"]

@@ -40,8 +40,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The least words that its SQL states; the operator by itself digests every line and sentence.
-    return units.removed_units(read(spark, sf_dir, "documents"), min_words=5, min_sentence=8).drop("row")
+    # Every line that isn't blank, and the sentences of eight words or more in lines of several.
+    return units.removed_units(read(spark, sf_dir, "documents"), sentences=True, min_sentence=8).drop("row")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +133,12 @@ WITH lines AS (
 ), normal AS (
   SELECT *, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS u FROM both_
 ), ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS k
-  FROM normal WHERE u <> '' AND length(u) - length(replace(u, ' ', '')) + 1 >= CASE WHEN sentence THEN 8 ELSE 5 END
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS k,
+    NOT sentence AND row_number() OVER (PARTITION BY u, sentence ORDER BY doc_id, start) > 1 AS by_line
+  FROM normal WHERE u <> '' AND (NOT sentence OR length(u) - length(replace(u, ' ', '')) + 1 >= 8)
   WINDOW w AS (PARTITION BY u ORDER BY doc_id, start, sentence)
 ), gone AS (SELECT *, bool_and(sentence) OVER (PARTITION BY doc_id, unit) AS parts FROM ranked WHERE k > 1)
-SELECT doc_id, cast(unit AS INTEGER) AS unit, sentence, cast(start AS BIGINT) AS start, length(part) AS length, kept_doc_id, cast(kept_start AS BIGINT) AS kept_start
+SELECT doc_id, cast(unit AS INTEGER) AS unit, sentence, cast(start AS BIGINT) AS start, length(part) AS length, CASE WHEN by_line THEN 'line' ELSE 'sentence' END AS found_by, kept_doc_id, cast(kept_start AS BIGINT) AS kept_start
 FROM gone WHERE NOT sentence OR parts
 """
 

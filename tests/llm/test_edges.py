@@ -100,30 +100,6 @@ def test_packing_exchanges_until_no_bin_is_saved(spark, monkeypatch):
     assert len(p) == 6000 and (p.groupby("sequence_id")["length"].sum() <= 64).all()
 
 
-def test_units(odd_docs):
-    gone = units.removed_units(odd_docs).collect()
-    assert sum(r["doc_id"] == 13 for r in gone) == 11 and any(r["doc_id"] == 12 for r in gone)
-    assert any(r["doc_id"] == 2 and r["kept_doc_id"] == 1 for r in gone)
-    texts = [r for r in units.dedup_units(odd_docs).collect()]
-    assert len(texts) == odd_docs.count()
-    by = {r["doc_id"]: r for r in texts}
-    assert by[13]["text"] == "a line that repeats itself here" and by[4]["text"] is None and by[2]["text"] == "" and by[1]["removed"] is None
-
-
-def test_a_passage_inside_a_line(spark):
-    inner = "This is a passage that several documents share word by word. It goes on for another sentence of enough words too."
-    docs = spark.createDataFrame([(1, f"One begins so. {inner} Ends."), (2, f"Two is another.\nHere begins a line. {inner} And more!"), (3, "Nothing shared here, all these words are on their own.")], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in units.dedup_units(docs).collect()}
-    assert out == {1: f"One begins so. {inner} Ends.", 2: "Two is another.\nHere begins a line. And more!", 3: "Nothing shared here, all these words are on their own."}
-
-
-def test_short_lines_and_lines_without_blanks(spark):
-    zh = "这一行没有空格也是重复的内容"
-    docs = spark.createDataFrame([(1, f"Read more\n{zh}\nfirst"), (2, f"READ  more\nsecond\n{zh}"), (3, "Third here. So it goes. Its end"), (4, "Fourth there. So it goes. Another end")], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in units.dedup_units(docs).collect()}
-    assert out == {1: f"Read more\n{zh}\nfirst", 2: "second", 3: "Third here. So it goes. Its end", 4: "Fourth there. Another end"}
-
-
 def test_empty_tables(odd_docs):
     none = odd_docs.limit(0)
     for f in (near.near_components, suffixes.substring_dedup, quality.quality, units.removed_units, lambda d: packing.pack(d, queries.byte_bpe()), lambda d: tokens.token_counts(d, queries.tokenizer_path("piece_bpe_32k.model"))):

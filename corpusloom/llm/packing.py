@@ -6,9 +6,14 @@
    decreasing over a table of open bins by room left.
 3. Dual feasible functions bound from below how many bins any packing of the partition needs. A
    partition that meets its bound is certified and final.
-4. The others keep their full bins and exchange the pieces of all other bins: these are dealt anew
-   into fewer, fuller partitions, and best-fit decreasing runs again, until all are
-   certified, the sum meets the bound of the whole input, or a round saves no bin.
+4. The others are repacked. Within a partition, a few bins give up their pieces, and these are packed again in
+   decreasing order, a little perturbed: each bin takes the first piece left and the set of others that fills it best. What needs
+   fewer bins, or as many but leaves the room in fewer of them, stays. That ends when the bound is met, or after ``tries`` attempts.
+5. Partitions that still have a gap keep their full bins and exchange the pieces of all other bins: these are
+   dealt anew into fewer, fuller partitions, and steps 2 to 4 run again, in one last partition as in several, until all
+   are certified, the sum meets the bound of the whole input, or a round saves no bin.
+
+Every piece carries its certificate: ``bins``, the sequences of the whole result, and ``bound``, which no packing can go below.
 
 Defined results: null or empty text is a document of the end id alone; repeated rows are
 packed as documents of their own; an empty table gives no rows; extra columns are ignored.
@@ -16,6 +21,7 @@ packed as documents of their own; an empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -119,6 +125,78 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.array(fill, np.int64)
 
 
+def repack(lengths: np.ndarray, bins: np.ndarray, size: int, bound: int, seed: int, tries: int) -> np.ndarray:
+    """Bins of a packing that needs as few of them or fewer. At each try some bins, half of them with room left, are filled anew; seeded."""
+    rng, sizes = random.Random(seed), lengths.tolist()
+    held: list[list[int]] = [[] for _ in range(int(bins.max()) + 1 if len(bins) else 0)]
+    for i, b in enumerate(bins.tolist()):
+        held[b].append(i)
+    room = [size - sum(map(sizes.__getitem__, h)) for h in held]
+    loose, emptiest = [], 0
+    for attempt in range(tries):
+        if len(held) <= bound:
+            break
+        if attempt % 256 == 0:
+            loose = [b for b, r in enumerate(room) if r]
+            emptiest = max(loose, key=room.__getitem__)
+        chosen = {rng.choice(loose) if rng.random() < 0.5 else rng.randrange(len(held)) for _ in range(rng.randint(5, 15))}
+        if rng.random() < 0.5:
+            chosen.add(emptiest)
+        order = sorted(b for b in chosen if b < len(held))
+        own, blur = [i for b in order for i in held[b]], rng.random() / 2
+        own.sort(key=lambda i: -sizes[i] * (1 - blur * rng.random()))  # noqa: B023
+        left, sets = _fullest(own, sizes, size)
+        if len(left) > len(order) or (len(left) == len(order) and sum(r * r for r in left) < sum(room[b] ** 2 for b in order)):
+            continue
+        for b, h, r in zip(order, sets, left, strict=False):
+            held[b], room[b] = h, r
+        for b in reversed(order[len(left) :]):
+            held[b], room[b] = held[-1], room[-1]
+            held.pop()
+            room.pop()
+            loose = [b for b, r in enumerate(room) if r] or [0]
+            emptiest = max(loose, key=room.__getitem__)
+    out = np.empty(len(lengths), np.int64)
+    for b, h in enumerate(held):
+        out[h] = b
+    return out
+
+
+def _fullest(own: list[int], sizes: list[int], size: int) -> tuple[list[int], list[list[int]]]:
+    """Bins filled one at a time: the first piece left, and of the others the set that fills the bin best. Room left and pieces of each."""
+    left, sets = [], []
+    while own:
+        first, *own = own
+        room = size - sizes[first]
+        sums, mask, before = 1, (1 << (room + 1)) - 1, []  # bit s: some of the pieces so far have the sum s
+        for i in own:
+            before.append(sums)
+            sums |= (sums << sizes[i]) & mask
+            if sums >> room & 1:
+                break
+        at = sums.bit_length() - 1
+        left.append(room - at)
+        taken = set()
+        for k in range(len(before) - 1, -1, -1):
+            if not before[k] >> at & 1:
+                taken.add(k)
+                at -= sizes[own[k]]
+        sets.append([first, *(own[k] for k in sorted(taken))])
+        own = [i for k, i in enumerate(own) if k not in taken]
+    return left, sets
+
+
+def places(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Offsets of pieces laid one after another in each bin."""
+    order = np.argsort(bins, kind="stable")
+    ends = np.cumsum(lengths[order])
+    first = np.concatenate([[True], np.diff(bins[order]) > 0])[: len(order)]
+    base = np.maximum.accumulate(np.where(first, ends - lengths[order], 0))
+    out = np.empty(len(lengths), np.int64)
+    out[order] = ends - lengths[order] - base
+    return out
+
+
 def lower_bound(counts: np.ndarray, size: int) -> int:
     """No packing of counts[n] pieces of every length n needs fewer bins: the best of two families of dual feasible functions."""
     n = np.arange(size + 1)
@@ -132,24 +210,27 @@ def lower_bound(counts: np.ndarray, size: int) -> int:
     return best
 
 
-def _packer(size: int, base: int):
+def _packer(size: int, base: int, seed: int, tries: int):
     """Packs one partition; bins and bound have its counts once, settled tells which rows are final."""
 
     def run(t: pa.Table) -> pa.Table:
         lengths = t.column("length").to_numpy()
-        bins, offsets, fill = best_fit(lengths, size)
+        part = t.column("part")[0].as_py()
+        bins, _, fill = best_fit(lengths, size)
         bound = lower_bound(np.bincount(lengths, minlength=size + 1), size)
+        if len(fill) > bound:
+            bins = repack(lengths, bins, size, bound, seed + part, tries)
+        fill = np.bincount(bins, lengths).astype(np.int64)
         head = np.zeros(len(lengths), np.int64)
         head[np.unique(bins, return_index=True)[1]] = 1
-        part = t.column("part")[0].as_py()
-        extra = [bins + ((base + part) << 32), offsets, (len(fill) == bound) | (fill[bins] == size), np.where(np.arange(len(lengths)) == 0, bound, 0), head]
+        extra = [bins + ((base + part) << 32), places(lengths, bins), (len(fill) == bound) | (fill[bins] == size), np.where(np.arange(len(lengths)) == 0, bound, 0), head]
         return pa.Table.from_arrays([*(t.column(c) for c in NAMES), *map(pa.array, extra)], names=[*NAMES, "sequence_id", "offset", "settled", "bound", "bins"])
 
     return run
 
 
-def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: int = 1024, end: int = 2, part_pieces: int = 200_000) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: int = 1024, end: int = 2, part_pieces: int = 200_000, tries: int = 50_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece, and the certificate: bins, bound."""
     packed_schema = PIECE + ", uid long, sequence_id long, offset long, settled boolean, bound long, bins long"
     short_batches(docs.sparkSession)
     todo = write_table(pieces(docs, encoding, size, end), "pieces")
@@ -162,7 +243,7 @@ def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: in
         parts = max(1, -(-n // part_pieces))
         # Random partitions of many documents look alike, so each one's bins fill nearly as well as the whole's.
         dealt = todo.select(*NAMES).withColumn("part", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)))
-        packed = write_table(dealt.groupBy("part").applyInArrow(_packer(size, base), packed_schema), "packed")
+        packed = write_table(dealt.groupBy("part").applyInArrow(_packer(size, base, round_ << 32, tries), packed_schema), "packed")
         total = packed.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound"), F.sum(F.when(~F.col("settled"), F.col("bins"))).alias("open"), F.count(F.when(~F.col("settled"), 1)).alias("n")).first()
         bins = spent + (total["bins"] or 0)
         if best is not None and bins >= best:
@@ -172,11 +253,11 @@ def pack(docs: DataFrame, encoding: tuple[str, str | None, str | None], size: in
             done.pop()
         best = bins
         done += [packed.where("settled"), packed.where("not settled")]
-        if bins <= least or not total["n"] or total["bins"] == total["bound"] or parts == 1:
+        if bins <= least or not total["n"] or total["bins"] == total["bound"]:
             break
         spent, n, base = bins - total["open"], total["n"], base + parts
         todo = packed.where("not settled")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.lit(best).cast("long").alias("bins"), F.lit(least).cast("long").alias("bound"))

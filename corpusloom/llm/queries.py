@@ -32,7 +32,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("longest_match")
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,15 +107,28 @@ WITH d AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
 ), hits AS (
   SELECT doc_id, i, p.n, item_id FROM places p JOIN windows USING (n, k)
+), hit AS (
+  SELECT DISTINCT doc_id, i + j - 1 AS place FROM (SELECT doc_id, i, unnest(range(0, n)) AS j FROM hits)
+), runs AS (
+  SELECT doc_id, min(place) AS a, max(place) + 1 AS z FROM (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM hit) GROUP BY doc_id, run
 ), words AS (
-  SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS j FROM hits) GROUP BY doc_id
+  SELECT doc_id, cast(sum(z - a) AS BIGINT) AS n_hit, string_agg(a || '-' || z, ',' ORDER BY a) AS spans FROM runs GROUP BY doc_id
+), same AS (
+  SELECT doc_id, item_id, copy, i, i - j AS diagonal
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) JOIN (SELECT item_id, row_number() OVER () AS copy, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM b) USING (x)
+), matches AS (
+  SELECT doc_id, min(i) - 1 AS a, count(*) AS n
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, copy, diagonal ORDER BY i) AS run FROM same) GROUP BY doc_id, copy, diagonal, run
+), longest AS (
+  SELECT doc_id, max(n) AS n, min(a) FILTER (n = most) AS a FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS most FROM matches) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
   FROM (SELECT DISTINCT doc_id, cast(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id
 )
 SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(spans, '') AS hit_spans, coalesce(n, 0) AS longest_match, a AS longest_start
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 _OP4 = r"""

@@ -65,7 +65,7 @@ def substring_dedup(rows: list[tuple], size: int = 50) -> list[tuple]:
 
 
 def contamination(docs: list[tuple], tests: list[tuple]) -> list[tuple]:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans, longest_match, longest_start)."""
 
     def words(t: str | None) -> list[str]:
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(_LOWER))
@@ -86,7 +86,17 @@ def contamination(docs: list[tuple], tests: list[tuple]) -> list[tuple]:
                     hit.update(range(i, i + n))
                     items |= found
         ids = ",".join(sorted(str(i) for i in items if i is not None))
-        out.append((d, len(w), len(hit), len({i for i in items if i is not None}), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        edges = [i for i in range(len(w) + 1) if (i in hit) != (i - 1 in hit)]
+        spans = ",".join(f"{a}-{z}" for a, z in zip(edges[::2], edges[1::2], strict=True))
+        longest, where = 0, None
+        for _, t in tests:
+            before = [0] * (len(w) + 1)
+            for x in words(t):
+                before = [0] + [before[i] + 1 if y == x else 0 for i, y in enumerate(w)]
+                best = max(before)
+                if best and (best, -(before.index(best) - best)) > (longest, -(where if where is not None else len(w))):
+                    longest, where = best, before.index(best) - best
+        out.append((d, len(w), len(hit), len({i for i in items if i is not None}), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), spans, longest, where))
     return out
 
 

@@ -87,7 +87,7 @@ def test_pipeline(spark, duck):
     for r in seen[3].collect():
         assert len(r["text"].encode()) <= want[r["doc_id"]][1] - want[r["doc_id"]][2]
         assert r["n_chars"] == len(r["text"])
-    bad = {d for d, _, _, _, _, c in brute.contamination(plain(seen[3]), duck.execute("SELECT * FROM benchmark").fetchall()) if c}
+    bad = {d for d, _, _, _, _, c, *_ in brute.contamination(plain(seen[3]), duck.execute("SELECT * FROM benchmark").fetchall()) if c}
     assert {r["doc_id"] for r in seen[4].collect()} == {d for d, _ in plain(seen[3])} - bad
     packed = corpus_pipeline.run(spark, SMALL).toPandas()
     assert set(packed["doc_id"]) == {d for d, _ in plain(seen[4])}

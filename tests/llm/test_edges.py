@@ -5,7 +5,7 @@ import pytest
 from support import SMALL
 
 import corpus_pipeline
-from corpusloom.llm import decontaminate, near, packing, quality, queries, suffixes, tokens, units
+from corpusloom.llm import near, packing, quality, queries, suffixes, tokens, units
 
 
 def plain(df):
@@ -34,24 +34,6 @@ def test_suffix_texts_keep_characters_whole(odd_docs):
     assert by[11]["text"].endswith("its end 🙂") and "p30 p31" not in by[11]["text"] and by[12]["text"] == ""
 
 
-def test_contamination(spark, odd_docs):
-    passage = " ".join(f"p{k}" for k in range(20, 50))
-    tests = [(1, passage), (2, "ONE two"), (3, None), (4, "..."), (None, passage), (5, "w5 w6 w7"), (1, passage), (6, " ".join(["a"] * 40))]
-    items = spark.createDataFrame(tests, "item_id long, text string")
-    want = ordered(brute.contamination(plain(odd_docs), tests))
-    for more in ({}, {"block_bytes": 60}, {"shard_bytes": 500}):
-        got = decontaminate.contamination(odd_docs, items, **more).drop("longest_match").collect()
-        assert ordered(got) == want
-    longest = {r["doc_id"]: r["longest_match"] for r in decontaminate.contamination(odd_docs, items).collect()}
-    assert longest[10] == longest[12] == 30 and longest[7] == 2 and longest[1] == 3 and longest[9] == 0
-    kept = decontaminate.remove_contaminated(odd_docs, items)
-    assert kept.columns == odd_docs.columns
-    bad = {d for d, *_, c in want if c}
-    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in plain(odd_docs)} - bad
-    none = decontaminate.contamination(odd_docs, items.limit(0)).collect()
-    assert len(none) == odd_docs.count() and not any(r["contaminated"] for r in none)
-
-
 def test_quality(odd_docs):
     rows = quality.quality(odd_docs, weight=1).collect()
     by = {r["doc_id"]: r for r in rows}

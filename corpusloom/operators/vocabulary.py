@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from corpusloom.config import EmbeddingConfig
 from corpusloom.functions.text import unit_random
 from corpusloom.operators.counts import owned, word_counts
+from corpusloom.storage import materialise
 
 #: Words of a vocabulary that is broadcast at most: about 200 MB in a task's hash table.
 BROADCAST_WORDS = 1_000_000
+#: Beyond that, words with more than this part of all tokens aren't shuffled by.
+SHARES = 1000
 
 
 def keep_probability(cnt: Column, threshold: Column) -> Column:
@@ -71,19 +74,38 @@ def to_local(global_: Column, first: Column) -> Column:
 
 
 def vocabulary(docs: DataFrame, c: EmbeddingConfig) -> DataFrame:
-    """From texts to numbered words."""
-    kept = subsample(word_counts(docs), c).where("kept").select("word", "cnt", "owner")
+    """From texts to numbered words. The corpus is read once: its counts are stored, and all that follows reads these."""
+    counts = materialise(word_counts(docs), "counts")
+    kept = materialise(subsample(counts, c).where("kept").select("word", "cnt", "owner"), "kept")
     return global_index(kept, c.owners)
 
 
-def sized(vocab: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
-    """``vocab`` with a broadcast hint if it has at most ``most`` words; a larger one joins by a shuffle. Counts it, so give a stored one."""
-    return F.broadcast(vocab) if vocab.limit(most + 1).count() <= most else vocab
+def small(vocab: DataFrame, most: int | None = None) -> bool:
+    """Whether ``vocab`` may be broadcast. Counts it, so give a stored one."""
+    most = BROADCAST_WORDS if most is None else most
+    return vocab.limit(most + 1).count() <= most
 
 
-def in_vocabulary(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    return tokens.join(sized(vocab.select("word")), "word", "left_semi")
+def look_up(tokens: DataFrame, vocab: DataFrame, how: str = "inner", most: int | None = None) -> DataFrame:
+    """Tokens joined with ``vocab`` by word.
 
+    A vocabulary of at most ``most`` words is broadcast. Beyond, tokens are shuffled by word, but for those of frequent words: a word with more
+    than a SHARES-th of all tokens, in the vocabulary or not, has its row (or its lack of one) sent to the tokens. There
+    are at most SHARES of them, and no task gets a larger share of the rest.
+    """
+    if small(vocab, most):
+        return tokens.join(F.broadcast(vocab), "word", how)
+    n = materialise(tokens.groupBy("word").agg(F.count("*").alias("n")), "token-counts")
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = n.where(F.col("n") * SHARES > total).select("word")
+    rare = tokens.join(F.broadcast(frequent), "word", "left_anti").join(vocab, "word", how)
+    common = tokens.join(F.broadcast(frequent), "word", "left_semi").join(F.broadcast(vocab.join(F.broadcast(frequent), "word", "left_semi")), "word", how)
+    return rare.unionByName(common)
 
-def out_of_vocabulary(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    return tokens.join(sized(vocab.select("word")), "word", "left_anti")
+
+def in_vocabulary(tokens: DataFrame, vocab: DataFrame, most: int | None = None) -> DataFrame:
+    return look_up(tokens, vocab.select("word"), "left_semi", most)
+
+
+def out_of_vocabulary(tokens: DataFrame, vocab: DataFrame, most: int | None = None) -> DataFrame:
+    return look_up(tokens, vocab.select("word"), "left_anti", most)

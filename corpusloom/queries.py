@@ -68,20 +68,25 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.read_table(spark, sf_dir)
 
 
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(C.word_counts(_docs(spark, sf_dir)), "counts")
+
+
 def _subsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VO.subsample(C.word_counts(_docs(spark, sf_dir)), CONFIG)
+    return VO.subsample(_counts(spark, sf_dir), CONFIG)
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(VO.vocabulary(_docs(spark, sf_dir), CONFIG), "vocabulary")
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.encode(_docs(spark, sf_dir), _vocab(spark, sf_dir))
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.document_pairs(_docs(spark, sf_dir), _vocab(spark, sf_dir), WINDOW)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.document_pairs(_encoded(spark, sf_dir), WINDOW)
+def _word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = _vocab(spark, sf_dir)
+    return G.with_words(G.document_pairs(_docs(spark, sf_dir), vocab, WINDOW), vocab)
 
 
 # --- Scans and partitions ---------------------------------------------------------------------
@@ -117,6 +122,26 @@ def delimiters(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", TX.byte_count(t).alias("n_bytes"), TX.first_delimiter(t).alias("first_delimiter"), TX.last_delimiter(t).alias("last_delimiter"))
 
 
+_HEX = "d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents), ends AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM d) WHERE substr(h, 2 * i + 1, 2) IN ('09', '0A', '20'))"
+_CUT = "z{k} AS (SELECT p.doc_id, p.n, p.z AS a, coalesce(min(e.i), p.n) AS z FROM {before} p LEFT JOIN ends e ON e.doc_id = p.doc_id AND e.i >= p.z + p.n // 4 GROUP BY p.doc_id, p.n, p.z)"
+
+
+@query(
+    f"""WITH {_HEX}, z0 AS (SELECT doc_id, n, 0::BIGINT AS a, 0::BIGINT AS z FROM d), {", ".join(_CUT.format(k=k, before=f"z{k - 1}") for k in (1, 2, 3))}
+{" UNION ALL ".join(f"SELECT doc_id, {k - 1}::INTEGER AS part, a AS read_offset, z - a AS read_length FROM z{k}" for k in (1, 2, 3))} UNION ALL SELECT doc_id, 3::INTEGER, z, n - z FROM z3"""
+)
+def byte_partitions(spark, sf_dir):
+    return corpus.text_ranges(_docs(spark, sf_dir), 4)
+
+
+@query(f"WITH {_TOKENS} SELECT d.doc_id, sha256(any_value(d.text)) AS text_sha256, count(word) AS n_tokens FROM documents d LEFT JOIN tokens t ON d.doc_id = t.doc_id WHERE d.text <> '' GROUP BY d.doc_id")
+def chunk_reassembly(spark, sf_dir):
+    """Pieces of whole words: put together they are the text, and cut apart they have its words."""
+    rows = corpus.reassembled(_docs(spark, sf_dir)).withColumn("n", F.size(TX.tokenise(F.col("text"))))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), "")
+    return rows.groupBy("doc_id").agg(F.sha2(whole, 256).alias("text_sha256"), F.sum("n").alias("n_tokens"))
+
+
 # --- Counts and owners ------------------------------------------------------------------------
 
 
@@ -162,7 +187,7 @@ def min_count_filter(spark, sf_dir):
 
 @query(f"WITH {_KEPT} SELECT owner, threshold FROM t")
 def subsample_threshold(spark, sf_dir):
-    return VO.thresholds(C.word_counts(_docs(spark, sf_dir)), CONFIG).groupBy("owner").agg(F.max("threshold").alias("threshold"))
+    return VO.thresholds(_counts(spark, sf_dir), CONFIG).groupBy("owner").agg(F.max("threshold").alias("threshold"))
 
 
 @query(f"WITH {_KEPT} SELECT word, cnt, p FROM prob WHERE cnt >= {CONFIG.min_count}")
@@ -217,7 +242,7 @@ def oov_tokens(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT doc_id, cast(pos AS INTEGER) AS pos, center, ctx, count(*) AS n FROM pairs GROUP BY ALL")
 def skipgram_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).groupBy("doc_id", "pos", "center", "ctx").agg(F.count("*").alias("n"))
+    return _word_pairs(spark, sf_dir).groupBy("doc_id", "pos", "center", "ctx").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -228,21 +253,24 @@ SELECT a.word AS center, count(*) AS n_pairs, cast(sum(b.idx) AS BIGINT) AS sum_
 FROM placed a JOIN (SELECT placed.*, g - k AS place FROM placed, (SELECT unnest(range(-{WINDOW}, {WINDOW} + 1)) AS k) WHERE k <> 0) b ON a.g = b.place GROUP BY a.word"""
 )
 def skipgram_pairs_corpus_scope(spark, sf_dir):
-    docs, encoded = _docs(spark, sf_dir), _encoded(spark, sf_dir)
-    inside = G.document_pairs(encoded, WINDOW).select("center", "in_idx", F.lit(0).alias("x"))
-    across = G.seam_pairs(docs, encoded, WINDOW).select("center", "in_idx", F.lit(1).alias("x"))
-    return inside.unionByName(across).groupBy("center").agg(F.count("*").alias("n_pairs"), F.sum("in_idx").alias("sum_in"), F.sum("x").alias("n_across"))
+    docs, vocab = _docs(spark, sf_dir), _vocab(spark, sf_dir)
+    inside = G.document_pairs(docs, vocab, WINDOW).select("out_idx", "in_idx", F.lit(0).alias("x"))
+    across = G.seam_pairs(docs, vocab, WINDOW).select("out_idx", "in_idx", F.lit(1).alias("x"))
+    rows = inside.unionByName(across).groupBy("out_idx").agg(F.count("*").alias("n_pairs"), F.sum("in_idx").alias("sum_in"), F.sum("x").alias("n_across"))
+    return rows.join(vocab.select(F.col("global_idx").alias("out_idx"), F.col("word").alias("center")), "out_idx").drop("out_idx")
 
 
 @query(f"WITH {_PAIRS} SELECT doc_id, cast(pos AS INTEGER) AS pos, center, string_agg(ctx, ' ' ORDER BY ctx) AS inputs FROM pairs GROUP BY doc_id, pos, center")
 def skipgram_inputs_grouped(spark, sf_dir):
-    rows = G.grouped(_encoded(spark, sf_dir), WINDOW)
-    return rows.select("doc_id", "pos", "center", F.array_join(F.array_sort(F.transform("inputs", lambda i: i["word"])), " ").alias("inputs"))
+    rows = _word_pairs(spark, sf_dir).groupBy("doc_id", "pos", "center").agg(F.array_sort(F.collect_list("ctx")).alias("inputs"))
+    return rows.select("doc_id", "pos", "center", F.array_join("inputs", " ").alias("inputs"))
 
 
 @query(f"WITH {_PAIRS} SELECT in_owner, center, count(*) AS n_inputs, count(DISTINCT ctx) AS n_words FROM pairs GROUP BY in_owner, center")
 def inputs_by_resolver(spark, sf_dir):
-    return G.by_resolver(_pairs(spark, sf_dir))
+    vocab = _vocab(spark, sf_dir)
+    rows = G.by_resolver(G.document_pairs(_docs(spark, sf_dir), vocab, WINDOW))
+    return rows.join(vocab.select(F.col("global_idx").alias("out_idx"), F.col("word").alias("center")), "out_idx").drop("out_idx")
 
 
 @query(f"WITH {_PAIRS} SELECT out_idx, in_idx, owner, count(*) AS n FROM pairs GROUP BY ALL")
@@ -286,10 +314,29 @@ def negative_draw_cdf(spark, sf_dir):
     return S.draw_by_cdf(_vocab(spark, sf_dir), 1000, CONFIG.seed)
 
 
-@query()
+_EACH = f"""each_ AS (SELECT DISTINCT out_idx, in_idx, owner, in_owner FROM pairs)
+, sizes AS (SELECT owner, count(*) AS words FROM vocab GROUP BY owner)"""
+
+
+@query(
+    f"""WITH {_PAIRS}, {_EACH}
+SELECT out_idx, in_idx, least({CONFIG.negative_samples}, words - 1 - CASE WHEN in_owner = e.owner AND in_idx <> out_idx THEN 1 ELSE 0 END) AS n, 0::BIGINT AS n_repeated, 0::BIGINT AS n_excluded, 0::BIGINT AS n_foreign
+FROM each_ e JOIN sizes s ON e.owner = s.owner"""
+)
 def negative_samples_distinct(spark, sf_dir):
+    """What holds of the negatives of every pair whatever is drawn: their number, and that none repeats, is one of the pair, or isn't the owner's."""
     vocab = _vocab(spark, sf_dir)
-    return S.negative_samples(G.document_pairs(G.encode(_docs(spark, sf_dir), vocab), WINDOW), vocab, CONFIG.negative_samples, CONFIG.seed)
+    drawn = S.negative_samples(G.document_pairs(_docs(spark, sf_dir), vocab, WINDOW), vocab, CONFIG.negative_samples, CONFIG.seed)
+    words = vocab.select("owner", "local_idx", F.col("global_idx").alias("word_idx"))
+    centers = vocab.select(F.col("global_idx").alias("out_idx"), "owner")
+    rows = drawn.join(F.broadcast(centers), "out_idx").join(F.broadcast(words), ["owner", "local_idx"], "left")
+    excluded = (F.col("word_idx") == F.col("out_idx")) | (F.col("word_idx") == F.col("in_idx"))
+    return rows.groupBy("out_idx", "in_idx").agg(
+        F.count("*").alias("n"),
+        (F.count("*") - F.countDistinct("local_idx")).alias("n_repeated"),
+        F.count(F.when(excluded, 1)).alias("n_excluded"),
+        F.count(F.when(F.col("word_idx").isNull(), 1)).alias("n_foreign"),
+    )
 
 
 # --- Vectors and the training step ------------------------------------------------------------
@@ -410,9 +457,8 @@ def result_union(spark, sf_dir):
 @query()
 def train_embeddings(spark, sf_dir):
     """All epochs and dimensions of the operator's defaults over the whole corpus; a row a word."""
-    c = EmbeddingConfig(owners=OWNERS)
-    weights = TR.train(_docs(spark, sf_dir), c)
-    return weights.select("word", "owner", "global_idx", F.round(V.norm(F.col("in_w")), 6).alias("in_norm"), F.round(V.norm(F.col("out_w")), 6).alias("out_norm"))
+    weights = TR.train(_docs(spark, sf_dir), EmbeddingConfig())
+    return weights.select("word", "owner", "global_idx", F.round(V.norm(F.col("in_w").cast("array<double>")), 6).alias("in_norm"), F.round(V.norm(F.col("out_w").cast("array<double>")), 6).alias("out_norm"))
 
 
 # --- The same operators over other texts --------------------------------------------------------

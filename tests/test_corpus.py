@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as TX
 from corpusloom.operators import counts
 from corpusloom.sources import corpus, embeddings
+from corpusloom.streaming.word_counts import stream_counts
 
 
 def pattern(n: int) -> bytes:
@@ -36,9 +37,9 @@ def test_ranges_and_chunks_lose_nothing(tmp_path_factory, text, parts, size):
 
 @pytest.mark.parametrize("cut", ["\t", "\n", " "])
 def test_word_count(spark, cut):
-    text = cut.join("Dies ist ein Satz mit vielen Wörtern, wie Satz".split(" "))
+    text = cut.join("Der Fluß floß, der Mond schien und Der Fluß rauschte".split(" "))
     got = {r["word"]: r["cnt"] for r in counts.word_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
-    assert got == {"dies": 1, "ist": 1, "ein": 1, "satz": 2, "mit": 1, "vielen": 1, "wörtern,": 1, "wie": 1}
+    assert got == {"der": 3, "fluß": 2, "floß,": 1, "mond": 1, "schien": 1, "und": 1, "rauschte": 1}
 
 
 def test_nulls_blanks_and_nothing(spark):
@@ -66,3 +67,31 @@ def test_embedding_lines(spark, tmp_path):
         embeddings.write_text(w, str(tmp_path / "out"), single_file=True)
     back = embeddings.read_text(spark, str(tmp_path / "out"))
     assert [tuple(r) for r in back.collect()] == [("ein", [1.0, 0.0]), ("satz", [0.5, -0.25])]
+
+
+def test_a_stream_of_one_file_leaves_its_neighbours_out(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, text in (("d.parquet", "a b a"), ("d.parquet2", "x"), ("d.parquet.bak", "y"), ("d[1].parquet", "z")):
+        pq.write_table(pa.table({"doc_id": [1], "text": [text]}), str(tmp_path / name))
+    count = lambda p: {r["word"]: r["cnt"] for r in stream_counts(spark, str(tmp_path / p)).collect()}
+    assert count("d.parquet") == {"a": 2, "b": 1} and count("d[1].parquet") == {"z": 1}
+    spark.createDataFrame([(1, "a"), (2, "c")], "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "folder.parquet"))
+    assert count("folder.parquet") == {"a": 1, "c": 1}
+
+
+def test_a_reader_of_words_begins_anew(tmp_path):
+    text = "Ein Satz\tmit  Wörtern\n" * 50
+    (tmp_path / "c.txt").write_bytes(text.encode())
+    want = text.lower().split()
+    reader = corpus.WordReader(str(tmp_path / "c.txt"), size=37)
+    assert reader.progress() == 0
+    first = [next(reader) for _ in range(30)]
+    assert first == want[:30] and 0 < reader.progress() < 1
+    reader.reset()
+    assert reader.progress() == 0 and list(reader) == want and reader.progress() == 1
+    parts = corpus.byte_ranges(str(tmp_path / "c.txt"), 3)
+    assert [w for a, n in parts for w in corpus.WordReader(str(tmp_path / "c.txt"), a, n, 20)] == want
+    (tmp_path / "none.txt").write_text("")
+    assert list(corpus.WordReader(str(tmp_path / "none.txt"))) == [] and corpus.WordReader(str(tmp_path / "none.txt")).progress() == 1

@@ -22,7 +22,11 @@ def test_entry(spark):
 
 
 def test_negatives_are_distinct_words_of_the_owner(spark):
-    rows = QUERIES["negative_samples_distinct"](spark, SMALL).toPandas()
+    from corpusloom import queries as q
+
+    stored = q._vocab(spark, SMALL)
+    pairs = q.G.document_pairs(q._docs(spark, SMALL), stored, q.WINDOW)
+    rows = q.S.negative_samples(pairs, stored, q.CONFIG.negative_samples, q.CONFIG.seed).toPandas()
     vocab = QUERIES["vocab_global_index"](spark, SMALL).toPandas()
     owner = dict(zip(vocab["global_idx"], vocab["owner"], strict=True))
     number = {(o, i): g for o, i, g in zip(vocab["owner"], vocab["local_idx"], vocab["global_idx"], strict=True)}

@@ -5,7 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import EmbeddingConfig
+from corpusloom.operators import skipgrams
+from corpusloom.operators.vocabulary import vocabulary
+from corpusloom.plans import training
 from corpusloom.plans.training import train, train_batch
+from corpusloom.storage import materialise
 
 
 def unit(x):
@@ -32,6 +36,127 @@ def test_one_pair_is_the_exact_step():
     assert np.allclose(want_o, unit(o + rate * unit(i)))  # whatever was predicted
 
 
+def by_hand(w_in, w_out, pairs, negatives, rate):
+    """Pairs one after another, as a plain loop; each with its own negatives."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for (out, in_), neg in zip(pairs, negatives, strict=True):
+        i = w_in[in_].copy()
+        gradient = (sig(w_out[out] @ i) - 1) * w_out[out] + sum(sig(w_out[n] @ i) * w_out[n] for n in neg)
+        w_out[out] = unit(w_out[out] + rate * unit(i))
+        for n in neg:
+            w_out[n] = unit(w_out[n] - rate * unit(i))
+        w_in[in_] = unit(w_in[in_] - rate * unit(gradient))
+
+
+def a_sequence(n=400, words=30):
+    rng = np.random.default_rng(7)
+    w_in, w_out = (np.array([unit(v) for v in rng.normal(size=(words, 6))]) for _ in range(2))
+    pairs = rng.integers(0, words, (n, 2))
+    negatives = np.array([rng.choice(np.setdiff1d(np.arange(words), p), 3, replace=False) for p in pairs])
+    return w_in, w_out, pairs, negatives
+
+
+def in_batches(w_in, w_out, pairs, negatives, rate, batch):
+    for at in range(0, len(pairs), batch):
+        part, neg = pairs[at : at + batch], negatives[at : at + batch]
+        train_batch(w_in, w_out, part[:, 1], part[:, 0], neg, np.ones(neg.shape, bool), rate)
+
+
+def test_pairs_one_by_one_keep_their_order():
+    w_in, w_out, pairs, negatives = a_sequence()
+    want_in, want_out = w_in.copy(), w_out.copy()
+    by_hand(want_in, want_out, pairs, negatives, 0.1)
+    in_batches(w_in, w_out, pairs, negatives, 0.1, 1)
+    assert np.allclose(w_in, want_in) and np.allclose(w_out, want_out)
+
+
+def test_batches_drift_within_bounds():
+    """Steps of a batch start from the same weights, so results differ from the exact order; with small steps hardly."""
+    drift = {}
+    for rate in (0.1, 0.01):
+        for batch in (8, 64):
+            w_in, w_out, pairs, negatives = a_sequence()
+            want_in, want_out = w_in.copy(), w_out.copy()
+            by_hand(want_in, want_out, pairs, negatives, rate)
+            in_batches(w_in, w_out, pairs, negatives, rate, batch)
+            drift[rate, batch] = 1 - (w_out * want_out).sum(1).mean()
+    assert drift[0.01, 8] < 0.002 and drift[0.01, 64] < 0.02 and drift[0.1, 8] < 0.1
+    assert drift[0.01, 64] < drift[0.1, 64]
+
+
+def test_a_round_of_one_owner_is_the_exact_order(spark):
+    """Through Spark, with batch=1 and no negatives to draw but the ones left: the same weights as a plain loop."""
+    docs = spark.createDataFrame([(k, "a b c b a c c b") for k in range(12)], "doc_id long, text string")
+    c = EmbeddingConfig(dimensions=5, epochs=1, owners=1, sample=1e9, negative_samples=1, batch=1, window_size=1)
+    vocab = materialise(vocabulary(docs, c), "vocab")
+    packed = training.pack_pairs(skipgrams.document_pairs(docs, vocab, 1), c)
+    chunk = packed.where("chunk = 0").first()
+    outs, ins = (np.frombuffer(chunk[x], "<i4") for x in ("outs", "ins"))
+    rows = skipgrams.document_pairs(docs, vocab, 1).orderBy("doc_id", "pos", "in_idx").collect()
+    assert [(r["out_idx"], r["in_idx"]) for r in rows] == list(zip(outs.tolist(), ins.tolist(), strict=True))
+    first = training.initial_weights(vocab, c).orderBy("global_idx").collect()
+    w_in, w_out = (np.array([r[x] for r in first]) for x in ("in_w", "out_w"))
+    # Of three words a pair of two leaves one; a pair of a word with itself leaves two, and the sampler draws.
+    sampler = training.NegativeSampler(np.array([r["cnt"] for r in first], float), np.random.default_rng([c.seed, 0, 0, 0]))
+    negatives, valid = sampler.sample(np.stack([outs, ins], 1).astype(np.int64), 1)
+    assert valid.all()
+    by_hand(w_in, w_out, list(zip(outs.tolist(), ins.tolist(), strict=True)), negatives, c.rate(0))
+    got = training.train(docs, c).orderBy("global_idx").collect()
+    assert np.allclose([r["in_w"] for r in got], w_in, atol=1e-3) and np.allclose([r["out_w"] for r in got], w_out, atol=1e-3)
+
+
+def test_packed_pairs_hold_all_pairs_in_order(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 13}" for j in range(1, 30))) for k in range(40)], "doc_id long, text string")
+    c = EmbeddingConfig(owners=3, sample=1e9, min_count=1, rounds_per_epoch=2)
+    vocab = materialise(vocabulary(docs, c), "vocab")
+    pairs = skipgrams.document_pairs(docs, vocab, 3)
+    packed = training.pack_pairs(pairs, c, chunk=50)
+    want = pairs.selectExpr("owner", "cast(pmod(xxhash64(doc_id, pos), 2) as int) as round", "doc_id", "pos", "in_idx", "out_idx").toPandas().sort_values(["owner", "round", "doc_id", "pos", "in_idx"])
+    for key, g in want.groupby(["owner", "round"]):
+        rows = sorted((r for r in packed.where(f"owner = {key[0]} and round = {key[1]}").collect()), key=lambda r: r["chunk"])
+        assert np.array_equal(np.frombuffer(rows[0]["ins"], "<i4"), np.unique(g["in_idx"])) and rows[0]["chunk"] == -1
+        for name, col in (("outs", "out_idx"), ("ins", "in_idx")):
+            assert np.concatenate([np.frombuffer(r[name], "<i4") for r in rows[1:]]).tolist() == g[col].tolist()
+    assert packed.where("chunk >= 0").agg(F.sum("n")).first()[0] == len(want) and packed.where("chunk >= 0").agg(F.max("n")).first()[0] <= 50
+    need = training.needed_inputs(packed)
+    assert need.count() == len(want[["owner", "round", "in_idx"]].drop_duplicates())
+
+
+def mean_cosine(rows, side):
+    v = np.array([r[side] for r in rows])
+    return (v @ v.T)[~np.eye(len(v), dtype=bool)].mean()
+
+
+@pytest.fixture(scope="module")
+def topics(spark):
+    rng = np.random.default_rng(8)
+    words = [[f"{t}{k}" for k in range(15)] for t in "pqrs"]
+    texts = [" ".join(rng.choice(words[d % 4], 40)) for d in range(120)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize(("negatives", "apart"), [(1, True), (5, False)])
+def test_whether_random_words_collapse(topics, negatives, apart):
+    """Steps of length 1 pull all vectors together where negatives outnumber the output, in the exact order too; otherwise topics stay apart."""
+    c = EmbeddingConfig(dimensions=16, epochs=3, owners=3, sample=1e9, negative_samples=negatives)
+    start = training.initial_weights(materialise(vocabulary(topics, c), "vocab"), c).collect()
+    assert len(start) == 60 and abs(mean_cosine(start, "in_w")) < 0.1
+    end = training.train(topics, c).collect()
+    assert (mean_cosine(end, "in_w") < 0.7) == apart
+    if apart:
+        v = {r["word"]: np.array(r["in_w"]) for r in end}
+        same = np.mean([v[a] @ v[b] for a in v for b in v if a != b and a[0] == b[0]])
+        assert same > mean_cosine(end, "in_w") + 0.1
+
+
+def test_the_exact_order_collapses_alike():
+    w_in, w_out, pairs, _ = a_sequence(4000, 20)
+    rng = np.random.default_rng(3)
+    negatives = np.array([rng.choice(np.setdiff1d(np.arange(20), p), 5, replace=False) for p in pairs])
+    by_hand(w_in, w_out, pairs, negatives, 0.1)
+    assert (w_in @ w_in.T)[~np.eye(20, dtype=bool)].mean() > 0.9
+
+
 def test_zero_input_changes_nothing_to_nan():
     w_in, w_out = np.zeros((1, 3)), np.eye(3)
     train_batch(w_in, w_out, np.array([0]), np.array([0]), np.array([[1]]), np.array([[True]]), 0.1)

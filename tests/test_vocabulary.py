@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import EmbeddingConfig
-from corpusloom.operators import sampling, skipgrams, vocabulary
+from corpusloom.operators import counts, sampling, skipgrams, vocabulary
+from corpusloom.storage import materialise
 
 
 def test_keep_probability(spark):
@@ -18,8 +19,8 @@ def test_keep_probability(spark):
 
 def test_types_below_min_count_go_and_empty_owners_stay(spark):
     c = EmbeddingConfig(owners=7, min_count=2, sample=1e9)
-    counts = spark.createDataFrame([("a", 5), ("b", 1), ("c", 2)], "word string, cnt long")
-    kept = vocabulary.subsample(counts, c).where("kept")
+    rows = spark.createDataFrame([("a", 5), ("b", 1), ("c", 2)], "word string, cnt long")
+    kept = vocabulary.subsample(rows, c).where("kept")
     assert {r["word"] for r in kept.collect()} == {"a", "c"}
     parts = vocabulary.partitions(kept, 7).orderBy("owner").collect()
     assert len(parts) == 7 and sum(p["length"] for p in parts) == 2
@@ -27,8 +28,8 @@ def test_types_below_min_count_go_and_empty_owners_stay(spark):
 
 
 def test_global_threshold(spark):
-    counts = spark.createDataFrame([(w, 10) for w in "abcdef"], "word string, cnt long")
-    got = {r["threshold"] for r in vocabulary.thresholds(counts, EmbeddingConfig(owners=3, threshold_scope="global")).collect()}
+    rows = spark.createDataFrame([(w, 10) for w in "abcdef"], "word string, cnt long")
+    got = {r["threshold"] for r in vocabulary.thresholds(rows, EmbeddingConfig(owners=3, threshold_scope="global")).collect()}
     assert got == {60 * 1e-3}
 
 
@@ -36,33 +37,68 @@ def _vocab(spark, words):
     return spark.createDataFrame([(w, 1, 0, i, i) for i, w in enumerate(words)], "word string, cnt long, owner int, local_idx int, global_idx long")
 
 
+@pytest.mark.parametrize("most", [None, 0])
 @pytest.mark.parametrize(("window", "want"), [(1, {"a": ["b"], "b": ["a"]}), (2, {"a": ["b"], "b": ["a", "c"], "c": ["b"]})])
-def test_words_outside_the_vocabulary_keep_their_place(spark, window, want):
-    docs = spark.createDataFrame([(1, "a b x c")], "doc_id long, text string")
-    rows = skipgrams.grouped(skipgrams.encode(docs, _vocab(spark, "abc")), window).collect()
-    assert {r["center"]: [i["word"] for i in r["inputs"]] for r in rows} == want
+def test_words_outside_the_vocabulary_keep_their_place(spark, window, want, most):
+    docs, vocab = spark.createDataFrame([(1, "a b x c")], "doc_id long, text string"), _vocab(spark, "abc")
+    rows = skipgrams.with_words(skipgrams.document_pairs(docs, vocab, window, most), vocab).groupBy("center").agg(F.sort_array(F.collect_list("ctx")).alias("inputs")).collect()
+    assert {r["center"]: r["inputs"] for r in rows} == want
 
 
-def test_corpus_scope_crosses_short_documents(spark):
+@pytest.mark.parametrize("most", [None, 0])
+def test_corpus_scope_crosses_short_documents(spark, most):
     texts = ["a b", "", "c", "x", "d a", "b c d a b"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    enc = skipgrams.encode(docs, _vocab(spark, "abcd"))
+    docs, vocab = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), _vocab(spark, "abcd")
     flat = " ".join(t for t in texts if t).split(" ")
     for w in (1, 2, 3, 4):
         want = Counter((flat[i], flat[j]) for i in range(len(flat)) for j in range(max(0, i - w), min(len(flat), i + w + 1)) if i != j and "x" not in (flat[i], flat[j]))
-        got = Counter((r["center"], r["ctx"]) for r in skipgrams.pairs(docs, enc, w, "corpus").collect())
+        got = Counter((r["center"], r["ctx"]) for r in skipgrams.with_words(skipgrams.pairs(docs, vocab, w, "corpus", most), vocab).collect())
         assert got == want
 
 
+@pytest.mark.parametrize("word", ["hot", "out"])
+def test_a_word_in_a_third_of_all_tokens_is_not_shuffled_by(spark, word):
+    """Beyond the broadcast bound, whether the frequent word is in the vocabulary or not."""
+    n = 3000
+    docs = spark.range(n, numPartitions=4).selectExpr("id AS doc_id", f"concat('{word} w', id % 700, ' x', id) AS text")
+    vocab = materialise(_vocab(spark, ["hot", *(f"w{k}" for k in range(500))]), "vocab")
+    known = {r["word"] for r in vocab.collect()}
+    tokens = counts.tokens(docs)
+    want = Counter(w for d in docs.collect() for w in d["text"].split(" "))
+    inside = vocabulary.in_vocabulary(tokens, vocab, most=10)
+    assert Counter(r["word"] for r in inside.collect()) == {w: k for w, k in want.items() if w in known}
+    assert Counter(r["word"] for r in vocabulary.out_of_vocabulary(tokens, vocab, most=10).collect()) == {w: k for w, k in want.items() if w not in known}
+    rows = skipgrams.encode(docs, vocab, most=10)
+    assert rows.count() == sum(k for w, k in want.items() if w in known)
+    # The rows that a shuffle by word deals out hold the frequent word no more.
+    shuffled = tokens.join(F.broadcast(tokens.groupBy("word").count().where(F.col("count") * vocabulary.SHARES > 3 * n).select("word")), "word", "left_anti")
+    assert shuffled.where(F.col("word") == word).count() == 0 and shuffled.groupBy("word").count().agg(F.max("count")).first()[0] <= 3 * n / vocabulary.SHARES
+
+
+def test_the_vocabulary_reads_the_corpus_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, "a b c a") for k in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, plans, store = spark.read.parquet(str(tmp_path / "docs")), [], vocabulary.materialise
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(vocabulary, "materialise", stored)
+    out = vocabulary.vocabulary(docs, EmbeddingConfig(owners=3, sample=1e9))
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert {r["word"] for r in out.collect()} == {"a", "b", "c"}
+    assert sum("text#" in p for p in plans) == 1
+
+
 @pytest.mark.parametrize(
-    ("counts", "s", "alias"),
+    ("numbers", "s", "alias"),
     [
         ([10, 5, 3, 2], [1.0, 1.0, 0.6, 0.4], [0, 1, 0, 0]),
         ([7, 1, 1, 1, 3, 9], [0.454545, 0.272727, 0.272727, 0.272727, 0.818182, 1.0], [5, 0, 5, 0, 5, 5]),
     ],
 )
-def test_alias_table(counts, s, alias):
-    got_s, got_alias = sampling.alias_table(np.array(counts, float))
+def test_alias_table(numbers, s, alias):
+    got_s, got_alias = sampling.alias_table(np.array(numbers, float))
     assert np.allclose(got_s, s, atol=1e-6) and got_alias.tolist() == alias
 
 

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
-_written: list[DataFrame] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,27 +35,40 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    _written.append(out)
     return out
 
 
-def discard(table: DataFrame) -> None:
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read again."""
+    for t in tables:
+        if t is not None and getattr(t, "stored_at", None):
+            delete(t.sparkSession, t.stored_at)
 
 
 @atexit.register
 def _discard_all() -> None:
-    for t in _written:
+    for spark, path in _written:
         try:
-            if t.sparkSession.sparkContext._jsc is not None:
-                discard(t)
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
         except Exception:  # the session has ended before: its files are the cluster's to expire
             return

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions.text import tokenise
-from corpusloom.storage import is_file, shared_dir
+from corpusloom.storage import is_file, new_path
 
 
 def counting(docs: DataFrame) -> DataFrame:
@@ -30,7 +29,7 @@ def keep_counts(docs: DataFrame, folder: str) -> StreamingQuery:
 
 def stream_counts(spark: SparkSession, path: str, schema: str = "doc_id long, text string") -> DataFrame:
     """Counts of the parquet files in a folder, or of one file, read as a stream. Streams read folders: one file is picked in its own by its name."""
-    folder, source = f"{shared_dir(spark)}/corpusloom/stream-{uuid.uuid4().hex}", spark.readStream.schema(schema)
+    folder, source = new_path(spark, "stream"), spark.readStream.schema(schema)
     if is_file(spark, path):
         parent, _, name = path.rpartition("/")
         path, source = parent, source.option("pathGlobFilter", re.sub(r"([\[\]{}*?\\])", r"\\\1", name))

@@ -1,83 +1,31 @@
-"""Helpers shared by the training-data operators: shared storage and hot-key joins."""
+"""Helpers shared by the training-data operators: storage, batches and hot-key joins."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import re
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from corpusloom.storage import discard as drop
+from corpusloom.storage import materialise as write_table
+from corpusloom.storage import new_path
+
+__all__ = ["drop", "free_shuffles", "join_hot", "let", "new_path", "read", "short_batches", "write_table"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a session with a ``local`` master may do without the setting; it gets a
-    temporary folder of its own, as tests do.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return qualified(spark, found)
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    return _LOCAL_DIRS[app]
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with the scheme of the cluster's default file system, if it has none of its own."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on at most ``rows`` texts go to Python at once in this session: texts are long, and a batch is held on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table: lineage ends here."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop(*tables: DataFrame | None) -> None:
-    """Delete tables of write_table() that nothing will read again."""
-    for t in tables:
-        if t is not None and getattr(t, "stored_at", None):
-            delete(t.sparkSession, t.stored_at)
+def short_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """From now on at most ``rows`` texts, and about ``size`` bytes, go to Python at once in this session: a batch is held on both sides, and the JVM keeps what its largest took."""
+    for key, most, default in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, "64m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, default))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -88,16 +36,6 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            if spark.sparkContext._jsc is not None:
-                delete(spark, path)
-        except Exception:  # the session has ended before: its files are the cluster's to expire
-            return
-
-
 def join_hot(big: DataFrame, small: DataFrame, key: str, n: str, total: int, how: str = "inner", shares: int = 1000) -> DataFrame:
     """Equi-join of ``big`` with ``small``, one row a key, whose column ``n`` counts the key's rows in ``big``.
 

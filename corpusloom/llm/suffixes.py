@@ -18,13 +18,18 @@ smaller doc_id; strings are judged on the input and never cross documents.
 Contexts are compared byte by byte; hashes only route them. Copies within a block are one
 context, so a hot passage reaches its bucket once a block, not once a document.
 
+Blocks are written in buckets by their number, so that only notes are shuffled to them; sizes of blocks and buckets grow with
+the square root of the corpus, which keeps the number of notes in proportion to it (see side()).
+
 Defined results: null or empty text has no bytes; rows that repeat a doc_id don't count as smaller
-than one another; a null doc_id ranks after all others; an empty table gives no rows.
+than one another; a null doc_id ranks after all others; an empty table gives no rows. Digests are those of all bytes left; where texts
+are returned, bytes of a character that was cut in two go too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.anchors import runs, shape
-from corpusloom.llm.common import free_shuffles, short_batches, write_table
+from corpusloom.llm.common import free_shuffles, new_path, short_batches, write_table
 from corpusloom.llm.suffixsort import classes
 
 U = np.uint64
@@ -359,13 +364,39 @@ def _cutter(buckets: int, length: int, schema: T.StructType | None, names: list[
     return run
 
 
-def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, texts: bool = True) -> DataFrame:
-    """texts: the documents with all their columns, text (and n_chars, if there) as what is left; else the contract's digests."""
+def side(total: float, note: int = 16 << 10, least: int = 2 << 20, most: int = 32 << 20) -> int:
+    """Bytes of a block and of a bucket for a corpus of ``total`` bytes.
+
+    Every block sends a note to every bucket, so of ``total`` / side of both there are (``total`` / side)^2 notes. The square root of ``total`` * ``note``
+    keeps a note at about ``note`` bytes of text and their number in proportion to the corpus, up to ``most``^2 / ``note`` (64 GB); beyond, notes get smaller.
+    """
+    return int(min(most, max(least, (total * note) ** 0.5)))
+
+
+def _stored(blocks: DataFrame, parts: int) -> DataFrame:
+    """Blocks as a table that is written in buckets by block, so that notes come to them and they are shuffled once, not at each step."""
+    spark, name = blocks.sparkSession, f"corpusloom_blocks_{uuid.uuid4().hex}"
+    path = new_path(spark, "blocks")
+    blocks.repartition(parts, "block").write.format("parquet").option("path", path).bucketBy(parts, "block").sortBy("block").saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at = path
+    spark.sql(f"DROP TABLE {name}")  # from the catalog: the files stay, and the plan has them
+    return out
+
+
+def dedup(docs: DataFrame, length: int = 50, block_bytes: int | None = None, bucket_bytes: int | None = None, texts: bool = True) -> DataFrame:
+    """texts: the documents with all their columns, text (and n_chars, if there) as what is left; else the contract's digests.
+
+    What is left of a text may begin or end inside a character of several bytes; its remaining bytes go too where texts are returned,
+    while the digests are those of all bytes left. Sizes of blocks and buckets follow side() unless given; results don't depend on them.
+    """
     spark = docs.sparkSession
     short_batches(spark)
-    blocks = write_table(_blocks(docs if texts else docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), block_bytes), "blocks")
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    named = docs if texts else docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = min(100_000, max(spark.sparkContext.defaultParallelism, total // (16 << 20)))
+    blocks = _stored(_blocks(named, block_bytes or side(total)), parts)
+    buckets = max(1, -(-total // (bucket_bytes or side(total))))
     masks = write_table(_hashes(blocks, buckets, length).groupBy("bucket").applyInArrow(_repeated, NOTE), "repeated")
     free_shuffles(spark)
     sent = blocks.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(_sender(buckets, length), NOTE)

@@ -101,3 +101,10 @@ def test_one_of_each_group_stays(odd_docs):
     out = near.one_of_each(odd_docs)
     ids = [r["doc_id"] for r in out.collect()]
     assert 1 in ids and 2 not in ids and 3 not in ids and 4 in ids and 5 in ids and out.columns == odd_docs.columns
+
+
+def test_block_sizes_keep_the_number_of_notes_in_proportion():
+    notes = lambda total: (total / suffixes.side(total)) ** 2
+    for total in (2 << 30, 8 << 30, 30 << 30):
+        assert 0.9 < notes(2 * total) / notes(total) / 2 < 1.1
+    assert suffixes.side(1) == 2 << 20 and suffixes.side(1e15) == 32 << 20

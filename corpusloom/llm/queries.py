@@ -205,6 +205,38 @@ FROM vals s LEFT JOIN limits l ON s.lang IS NOT DISTINCT FROM l.lang AND s.sourc
 """
 
 
+_OP6 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), t AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS MATERIALIZED (SELECT a, b FROM t JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.b, d.doc_id) AS component_id, coalesce(c.b, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+# Texts as hex digits, two a byte; every string of 50 bytes with the first document that has it.
+_OP8 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)
+), f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), hit AS (SELECT doc_id, i FROM w JOIN f ON w.k = f.k AND first < doc_id
+), g AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM hit
+), runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (nxt - p)), '' ORDER BY p) AS kh FROM (
+    SELECT d.doc_id, h, p, coalesce(nxt, n) AS nxt FROM d JOIN (
+      SELECT doc_id, 0 AS p, min(a) AS nxt FROM runs GROUP BY doc_id
+      UNION ALL SELECT doc_id, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) FROM runs) USING (doc_id)) GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(r.gone, 0) AS n_removed, coalesce(r.spans, 0) AS n_spans, sha256(unhex(coalesce(kh, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, cast(sum(z - a) AS BIGINT) AS gone, count(*) AS spans FROM runs GROUP BY doc_id) r USING (doc_id)
+"""
+
+
 _OP10 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
@@ -215,4 +247,4 @@ FROM p LEFT JOIN f ON p.d = f.d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op2_decontamination": _OP2, "op4_substring_dedup": _OP4, "op5_quality_rules": _op5(), "op10_warc": _OP10}
+    return {"op1_chat_formatting": _OP1, "op2_decontamination": _OP2, "op4_substring_dedup": _OP4, "op5_quality_rules": _op5(), "op6_near_dedup": _OP6, "op8_suffix_array_dedup": _OP8, "op10_warc": _OP10}

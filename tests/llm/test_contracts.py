@@ -20,6 +20,20 @@ def test_matches_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.parametrize("name", ["op4_substring_dedup", "op5_quality_rules", "op6_near_dedup", "op8_suffix_array_dedup"])
+def test_matches_sql_on_odd_documents(odd_docs, tmp_path, name):
+    """Nulls, blanks, long texts and ties, with other columns of clashing names; doc_ids once each, as SQL takes them."""
+    import duckdb
+
+    docs = odd_docs.where("doc_id is not null and doc_id <> 9").dropDuplicates(["doc_id"]).cache()
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = queries.queries()[name](docs.sparkSession, str(tmp_path)).toPandas(), con.execute(SQL[name]).fetch_df()
+    assert len(got) and sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got) == rows_of(want)
+
+
 def documents(duck):
     return duck.execute("SELECT doc_id, text FROM documents").fetchall()
 

@@ -12,7 +12,7 @@ go through pyarrow's file systems, so the folder may be a local, HDFS or object-
 
 Defined results: null html is an empty payload; rows that repeat the smallest page_id with an equal
 payload are responses too; a page without page_id is a response unless its payload has one
-with an id; a null url is left out of the record; an empty table gives no archive and no rows.
+with an id; rows that repeat a page_id have records of one id; a null url is left out of the record; a payload of any size is one record; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ FRAME_MAGIC = 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BREAK = b"\r\n"
 
+#: Repeated payloads that are broadcast at most, about 200 MB in a task's hash table.
+BROADCAST_PAYLOADS = 1_000_000
 READ_BACK = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string"
 
 
@@ -47,14 +49,20 @@ def _page(uri: str) -> int | None:
     return None if own == "none" else int(own)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, kind: str, date: str) -> bytes:
-    http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b""]
-    block = BREAK.join(http) + BREAK + (payload if kind == "response" else b"")
+def _target(url: str) -> str:
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, refers_url: str | None, kind: str, date: str) -> bytes:
+    """``size`` is that of the full payload, which a revisit doesn't hold."""
+    http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % size, b""]
+    block = BREAK.join(http) + BREAK + payload
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_uri(page_id)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
+        head.append(f"WARC-Target-URI: {_target(url)}")
     if kind == "revisit":
-        head += [f"WARC-Refers-To: {_uri(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {_uri(refers_to)}", f"WARC-Refers-To-Date: {date}", f"WARC-Profile: {PROFILE}"]
+        head += [] if refers_url is None else [f"WARC-Refers-To-Target-URI: {_target(refers_url)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", ""]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + BREAK + block + BREAK + BREAK
 
@@ -102,14 +110,25 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _types(pages: DataFrame, min_revisit: int) -> DataFrame:
-    """pages with digest, kind and refers_to."""
+    """pages with digest, kind, refers_to and refers_url; html is null for revisits, whose records hold none.
+
+    What is known of repeated payloads, a row each, is broadcast up to BROADCAST_PAYLOADS of them, so html stays where it is read.
+    Beyond, pages are joined by digest, frequent ones aside; html is moved then.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    sized = rows.where(F.octet_length("html") >= min_revisit)
-    first = write_table(sized.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "payloads")
-    typed = join_hot(rows, first, "digest", "n", rows.count(), "left")
+    sized = rows.where(F.octet_length("html") >= min_revisit).select("page_id", "url", "digest")
+    known = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    first = sized.groupBy("digest").agg(known.alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    first = write_table(first.select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), "n"), "payloads")
+    if first.count() <= BROADCAST_PAYLOADS:
+        typed = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        typed = join_hot(rows, first, "digest", "n", pages.count(), "left")
     later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return typed.select("page_id", "url", "html", "digest", F.when(later, F.col("first")).alias("refers_to"), F.when(later, "revisit").otherwise("response").alias("kind"))
+    size = F.octet_length("html").cast("long").alias("size")
+    when = lambda c: F.when(later, F.col(c))
+    return typed.select("page_id", "url", F.when(~later, F.col("html")).alias("html"), size, "digest", when("first").alias("refers_to"), when("first_url").alias("refers_url"), F.when(later, "revisit").otherwise("response").alias("kind"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int = 100, archive_bytes: int = 16 << 20, dictionary_bytes: int = 64 << 10, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -126,14 +145,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
             name = f"part-{uuid.uuid4().hex}.warc.zst"
             data = archive(records, dictionary_bytes, level)
             where.create_dir(base, recursive=True)
-            with where.open_output_stream(f"{base}/{name}") as f:
+            with where.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(data)
             return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([len(records)], pa.int64()), "bytes": pa.array([len(data)], pa.int64()), "raw_bytes": pa.array([size], pa.int64())})
 
         records, size = [], 0
         for b in batches:
-            for p, url, html, digest, first, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                records.append(record(p, url, html.encode("utf-8", "surrogatepass"), digest, first, kind, date))
+            for p, url, html, full, digest, first, first_url, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                records.append(record(p, url, (html or "").encode("utf-8", "surrogatepass"), full, digest, first, first_url, kind, date))
                 size += len(records[-1])
                 if size >= archive_bytes:
                     yield flush(records, size)
@@ -153,7 +172,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 where, name = fs.FileSystem.from_uri(path)
-                with where.open_input_stream(name) as f:
+                with where.open_input_stream(name, compression=None) as f:
                     data = f.read()
                 rows = []
                 for head, block in parse(data):

@@ -90,7 +90,9 @@ def test_equal_windows_have_equal_anchors(texts, length):
     assert count == sum(max(0, len(t) - length + 1) for t in raw)
 
 
-def test_warc_files(spark):
+@pytest.mark.parametrize("most", [warc.BROADCAST_PAYLOADS, 0])
+def test_warc_files(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", most)
     page = "<html>" + "x" * 200
     rows = [(3, "http://a", page), (1, "http://b\r\nc", page), (2, None, page), (4, "http://d", "tiny"), (5, "http://e", "tiny"), (6, None, None), (6, None, None), (None, "http://f", page), (1, "http://b", page), (7, "http://g", "é" * 99)]
     df = spark.createDataFrame([(*r, "k", 5) for r in rows], "page_id long, url string, html string, kind string, n int")
@@ -102,10 +104,25 @@ def test_warc_files(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_a_large_payload_and_what_a_revisit_names(spark):
+    big = "<p>é" * (4 << 20)
+    df = spark.createDataFrame([(1, "http://a b", big), (2, "http://c", big), (3, None, "x" * 100), (4, "http://d", "x" * 100)], "page_id long, url string, html string")
+    manifest = warc.write_archives(df)
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_archives(manifest).collect()}
+    assert got == {1: ("response", 5 * (4 << 20), None), 2: ("revisit", 5 * (4 << 20), 1), 3: ("response", 100, None), 4: ("revisit", 100, 3)}
+    heads = {}
+    for r in manifest.collect():
+        with open(r["archive"].removeprefix("file://"), "rb") as f:
+            assert int.from_bytes(f.read(4), "little") == warc.DICTIONARY_MAGIC  # the file itself, not compressed once more
+            f.seek(0)
+            heads |= {int(h["WARC-Record-ID"].strip("<>").rpartition(":")[2]): h for h, _ in warc.parse(f.read())}
+    assert heads[2]["WARC-Refers-To-Target-URI"] == "http://a%20b" and "WARC-Refers-To-Date" in heads[2] and "WARC-Refers-To-Target-URI" not in heads[4]
+
+
 def test_an_archive_is_frames_behind_a_dictionary():
     import zstandard
 
-    records = [warc.record(k, f"http://h/{k}", b"<p>" + f"some words of page {k} ".encode() * 40, "00", None, "response", "2024-01-01T00:00:00Z") for k in range(300)]
+    records = [warc.record(k, f"http://h/{k}", b"<p>" + f"some words of page {k} ".encode() * 40, 0, "00", None, None, "response", "2024-01-01T00:00:00Z") for k in range(300)]
     data = warc.archive(records, 16 << 10, 3)
     assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
     size = int.from_bytes(data[4:8], "little")
@@ -119,7 +136,7 @@ def test_an_archive_is_frames_behind_a_dictionary():
 
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_an_archive_of_few_records_has_a_dictionary(n):
-    records = [warc.record(k, f"http://h/{k}", b"", "00", 1, "revisit", "2024-01-01T00:00:00Z") for k in range(n)]
+    records = [warc.record(k, f"http://h/{k}", b"", 0, "00", 1, "http://h", "revisit", "2024-01-01T00:00:00Z") for k in range(n)]
     data = warc.archive(records, 16 << 10, 3)
     assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
     assert [int(h["WARC-Record-ID"].strip("<>").rpartition(":")[2]) for h, _ in warc.parse(data)] == list(range(n))

@@ -122,12 +122,14 @@ def delimiters(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", TX.byte_count(t).alias("n_bytes"), TX.first_delimiter(t).alias("first_delimiter"), TX.last_delimiter(t).alias("last_delimiter"))
 
 
-_HEX = "d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents), ends AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM d) WHERE substr(h, 2 * i + 1, 2) IN ('09', '0A', '20'))"
+_ENDS = r"""d AS (SELECT doc_id, regexp_split_to_array(text, '[\t\n ]') AS s, strlen(text) AS n FROM documents), ends AS MATERIALIZED (
+  SELECT doc_id, i FROM (SELECT doc_id, k, m, cast(sum(strlen(p) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS i
+    FROM (SELECT doc_id, unnest(s) AS p, generate_subscripts(s, 1) AS k, len(s) AS m FROM d)) WHERE k < m)"""
 _CUT = "z{k} AS (SELECT p.doc_id, p.n, p.z AS a, coalesce(min(e.i), p.n) AS z FROM {before} p LEFT JOIN ends e ON e.doc_id = p.doc_id AND e.i >= p.z + p.n // 4 GROUP BY p.doc_id, p.n, p.z)"
 
 
 @query(
-    f"""WITH {_HEX}, z0 AS (SELECT doc_id, n, 0::BIGINT AS a, 0::BIGINT AS z FROM d), {", ".join(_CUT.format(k=k, before=f"z{k - 1}") for k in (1, 2, 3))}
+    f"""WITH {_ENDS}, z0 AS (SELECT doc_id, n, 0::BIGINT AS a, 0::BIGINT AS z FROM d), {", ".join(_CUT.format(k=k, before=f"z{k - 1}") for k in (1, 2, 3))}
 {" UNION ALL ".join(f"SELECT doc_id, {k - 1}::INTEGER AS part, a AS read_offset, z - a AS read_length FROM z{k}" for k in (1, 2, 3))} UNION ALL SELECT doc_id, 3::INTEGER, z, n - z FROM z3"""
 )
 def byte_partitions(spark, sf_dir):

@@ -333,12 +333,13 @@ def negative_samples_distinct(spark, sf_dir):
     centers = vocab.select(F.col("global_idx").alias("out_idx"), "owner")
     rows = drawn.join(F.broadcast(centers), "out_idx").join(F.broadcast(words), ["owner", "local_idx"], "left")
     excluded = (F.col("word_idx") == F.col("out_idx")) | (F.col("word_idx") == F.col("in_idx"))
-    return rows.groupBy("out_idx", "in_idx").agg(
-        F.count("*").alias("n"),
-        (F.count("*") - F.countDistinct("local_idx")).alias("n_repeated"),
+    each = rows.groupBy("out_idx", "in_idx").agg(
+        F.collect_list("local_idx").alias("all"),
         F.count(F.when(excluded, 1)).alias("n_excluded"),
         F.count(F.when(F.col("word_idx").isNull(), 1)).alias("n_foreign"),
     )
+    n = F.size("all").cast("long")
+    return each.select("out_idx", "in_idx", n.alias("n"), (n - F.size(F.array_distinct("all"))).alias("n_repeated"), "n_excluded", "n_foreign")
 
 
 # --- Vectors and the training step ------------------------------------------------------------

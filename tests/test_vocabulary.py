@@ -45,6 +45,25 @@ def test_words_outside_the_vocabulary_keep_their_place(spark, window, want, most
     assert {r["center"]: r["inputs"] for r in rows} == want
 
 
+def test_pairs_across_batches_are_those_of_one(spark):
+    """Tokens are sent on in batches; a document that begins in one and ends in another loses no pair, and repeated doc_ids stay apart."""
+    rng = np.random.default_rng(6)
+    texts = [(k // 2, " ".join(rng.choice(list("abcdx"), int(rng.integers(0, 30))))) for k in range(40)]
+    docs, vocab = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), _vocab(spark, "abcd")
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = Counter()
+    for doc, text in texts:
+        w = text.split(" ")
+        want.update((doc, w[i], w[j]) for i in range(len(w)) for j in range(max(0, i - 3), min(len(w), i + 4)) if i != j and not {"x", ""} & {w[i], w[j]})
+    try:
+        for rows in (1, 2, 7, 10_000):
+            spark.conf.set(key, rows)
+            got = skipgrams.with_words(skipgrams.document_pairs(docs, vocab, 3), vocab).collect()
+            assert Counter((r["doc_id"], r["center"], r["ctx"]) for r in got) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("most", [None, 0])
 def test_corpus_scope_crosses_short_documents(spark, most):
     texts = ["a b", "", "c", "x", "d a", "b c d a b"]

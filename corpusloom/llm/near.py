@@ -12,11 +12,18 @@
    compared with all. Of what passes, the best partners of each class and of each leader go on.
 4. Pairs are confirmed on the full sets; links give connected components by star contraction.
 5. Nodes that still hold several components are compared again, now with all pairs across
-   components (in large nodes: every class outside the leader's component against all
-   blocks), so what step 3 held back is made up for, and components are formed once more.
+   components, so what step 3 held back is made up for, and components are formed once more. Large ones with many classes
+   outside their leader's component are branched further first, level by level, by several tokens each, as long as
+   that saves pairs; what no further token splits is compared in blocks, every class outside the leader's component with all.
    Sketches of 1024 tokens, made for the classes in these nodes only, rule out what isn't near.
 
-Nothing of this is collected, and no group grows with a hot key: large nodes are blocks.
+Nothing of this is collected, and no group grows with a hot key: large nodes are blocks, and a node's size goes to its rows
+without a shuffle by its key.
+
+What is exact and what isn't: links are confirmed on whole sets of 64-bit hashes of shingles, and sets with the same 128-bit digest count as
+equal; for a corpus of 2^32 unlike texts the chance that any two of them share a digest is 2^-65. Links are found by trees and
+sketches: one of similarity 0.75 is missed with a probability of a few millionths; where its only common nodes are branched further, with
+one of some hundredths for each of these. Nearer pairs are missed less.
 
 Defined results: null or empty text, or text of blanks, has no shingles, is linked with nothing and is
 its own component; rows that repeat a doc_id with equal texts belong to one class; a row
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +45,8 @@ from corpusloom.llm.shingles import U, mix, shingle_set
 
 HASHES = 64
 DEPTH = 2
+#: Levels that nodes with many components are branched further, and children of a class at each.
+LEVELS, CHILDREN = 4, 3
 _rng = np.random.default_rng(20240607)
 _XOR, _MUL = (_rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1) for _ in range(2))
 FINE = 1024
@@ -87,10 +96,12 @@ def grow_trees(classes: DataFrame, trees: int, leaf: int) -> list[DataFrame]:
     first = F.array(*[F.xxhash64(F.lit(t), token(F.lit(t), 0)) for t in range(trees)])
     # A node's key is its tree and the tokens chosen so far. Only classes of large nodes get deeper keys.
     deeper = F.array(*[F.xxhash64("tree", *[token(F.col("tree"), i) for i in range(level)]) for level in range(2, DEPTH + 1)])
-    rows, out = classes.select("cls", F.posexplode(first).alias("tree", "node")), []
+    rows, total, out = classes.select("cls", F.posexplode(first).alias("tree", "node")), classes.count() * trees, []
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        nodes = write_table(rows.join(sizes, "node"), f"nodes-{level}")
+        # A node that holds a third of all classes isn't shuffled by its key: its size, made of partial counts, goes to its rows.
+        sizes = write_table(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{level}")
+        nodes = write_table(join_hot(rows, sizes, "node", "n", total), f"nodes-{level}")
+        drop(sizes)
         large = nodes.where(F.col("n") > leaf)
         out.append(nodes.where(F.col("n") <= leaf).select("node", "cls", "n", "tree"))
         if large.isEmpty():
@@ -98,6 +109,7 @@ def grow_trees(classes: DataFrame, trees: int, leaf: int) -> list[DataFrame]:
         if level == 1:
             rows = large.select("cls", "tree").join(classes.select("cls", "mins"), "cls").select("cls", "tree", deeper.alias("keys"))
         if level < DEPTH:
+            total = large.count()
             rows = (rows if level == 1 else large).select("cls", "tree", "keys", F.col("keys")[level - 1].alias("node"))
     return [*out, large.select("node", "cls", "n", "tree")]
 
@@ -182,7 +194,7 @@ def _candidates(rows: DataFrame, across: bool, least: int, trees: int) -> DataFr
             mins = np.frombuffer(b"".join(t.column("mins").to_pylist()), "<u4").reshape(len(t), HASHES)
             equal = mins[i] == mins[j]
             whole = np.all([equal[:, [(k + level * trees) % HASHES for k in range(trees)]] for level in range(DEPTH)], 0)
-            own = ~whole.any(1) | (whole.argmax(1) == t.column("tree").to_numpy()[i])
+            own = ~whole.any(1) | (whole.argmax(1) == t.column("tree").to_numpy()[i]) | (t.column("tree").to_numpy()[i] < 0)
             i, j = i[own], j[own]
         a, b = cls[i], cls[j]
         ok = a != b
@@ -244,8 +256,9 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
         # Large star: all larger neighbours of u go to the smallest around it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # The centre of a large component has edges to all of it: its least neighbour goes to them.
+        wide = join_hot(both.where("v > u"), write_table(least, "least"), "u", "n", 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         # Small star: u and its smaller neighbours go to the smallest of these.
         wide = write_table(wide, "stars")
         least = wide.groupBy("u").agg(F.min("v").alias("m"))
@@ -255,7 +268,80 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_components(docs: DataFrame, size: int = 5, trees: int = 16, leaf: int = 64, block: int = 512, least: int = 32, least_fine: int = 702) -> DataFrame:
+def _outside(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, cls, comp, tree) with blocks and block; and of each node with several components blocks, leader and ``outside``: how many classes aren't in its component.
+
+    The leader is a node's least class. All joins go by node and block: a node that holds a third of all classes is as many keys as it has blocks.
+    """
+    sizes = write_table(rows.groupBy("node").agg(F.min(F.struct("cls", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")), "node-sizes")
+    total = rows.count()
+    dealt = join_hot(rows, sizes.where("lo <> hi").select("node", "n", F.col("lead.comp").alias("lead"), F.ceil(F.col("n") / block).cast("long").alias("blocks")), "node", "n", total)
+    dealt = write_table(dealt.withColumn("block", F.pmod(F.xxhash64("cls", "node"), F.col("blocks"))), "mixed-large")
+    counts = dealt.groupBy("node").agg(F.max("blocks").alias("blocks"), F.max("n").alias("n"), F.count(F.when(F.col("comp") != F.col("lead"), 1)).alias("outside"))
+    drop(sizes)
+    return dealt, write_table(counts, "outside")
+
+
+def _branched(rows: DataFrame, classes: DataFrame, block: int, branch: int) -> tuple[DataFrame, DataFrame]:
+    """Large nodes with many classes outside their leader's component, branched by further tokens: what has become small, and what hasn't.
+
+    A class goes to CHILDREN nodes, one for each of the tokens that the node's key picks, so a pair of similarity 0.75 still meets in one
+    with probability 0.98. Children of one component end there. A node whose children would have most of its pairs to compare again
+    isn't branched; such nodes, those with few classes outside, and what all levels leave large are for _crossed().
+    """
+    few, rest = [], []
+
+    def of(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+        return dealt.join(nodes.select("node", _every("blocks")), ["node", "block"], "left_semi").select("node", "cls", "comp", "tree")
+
+    for level in range(LEVELS):
+        dealt, counts = _outside(rows, block)
+        heavy = counts.where(F.col("outside") > branch)
+        rest.append(of(dealt, counts.where(F.col("outside") <= branch)))
+        if heavy.isEmpty():
+            return _union(few, rows), _union(rest, rows)
+        # Children of a node; a tree number below zero means that no pair is left to another tree.
+        token = lambda k: F.substring("mins", (4 * F.pmod(F.xxhash64("node", F.lit(k)), F.lit(HASHES)) + 1).cast("int"), F.lit(4))
+        children = F.explode(F.array(*[F.xxhash64("node", F.lit(k), token(k)) for k in range(CHILDREN)])).alias("child")
+        made = of(dealt, heavy).join(classes.select("cls", "mins"), "cls").select("node", children, "cls", "comp")
+        made = write_table(made.distinct(), f"children-{level}")
+        sizes = made.groupBy("child").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        sizes = write_table(sizes.select("child", "node", "n"), "children-sizes")
+        work = sizes.groupBy("node").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+        judged = write_table(heavy.join(work, "node", "left").withColumn("less", F.coalesce("work", F.lit(0.0)) < 0.7 * F.col("n").cast("double") * F.col("n")), "judged")
+        rest.append(of(dealt, judged.where("not less")))
+        taken = sizes.join(judged.where("less").select("node"), "node", "left_semi").select("child", "n")
+        sized = write_table(join_hot(made.drop("node"), taken, "child", "n", made.count()).select(F.col("child").alias("node"), "cls", "comp", F.lit(-1).alias("tree"), "n"), f"mixed-children-{level}")
+        drop(made)
+        few.append(sized.where(F.col("n") <= block).select("node", "cls", "comp", "tree"))
+        rows = sized.where(F.col("n") > block).select("node", "cls", "comp", "tree")
+    return _union(few, rows), _union([*rest, rows], rows)
+
+
+def _union(tables: list[DataFrame], like: DataFrame) -> DataFrame:
+    out = like.limit(0).select("node", "cls", "comp", F.lit(0).alias("tree"))
+    for t in tables:
+        out = out.unionByName(t)
+    return out
+
+
+def _every(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)).alias("block")
+
+
+def _crossed(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (g, side, cls, comp, tree) in which every class outside its node's leader's component meets all classes of the node, block by block."""
+    dealt, counts = _outside(rows, block)
+    counts = counts.where("outside > 0").withColumn("shares", F.ceil(F.col("outside") / block).cast("long")).select("node", "blocks", "shares", _every("blocks"))
+    both = dealt.drop("blocks").join(counts, ["node", "block"])
+    share = F.pmod(F.xxhash64("cls", "node", F.lit("share")), F.col("shares"))
+    asking = both.where(F.col("comp") != F.col("lead")).select("node", share.alias("share"), "cls", "comp", "tree", _every("blocks"))
+    asked = both.select("node", "block", "cls", "comp", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    out = [t.select(F.xxhash64("node", "block", "share").alias("g"), F.lit(side).alias("side"), "cls", "comp", "tree") for side, t in enumerate((asking, asked))]
+    return out[0].unionByName(out[1])
+
+
+def near_components(docs: DataFrame, size: int = 5, trees: int = 16, leaf: int = 64, block: int = 512, branch: int = 256, least: int = 32, least_fine: int = 702) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     short_batches(spark)
@@ -295,18 +381,9 @@ def near_components(docs: DataFrame, size: int = 5, trees: int = 16, leaf: int =
     mixed = marked.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
     rows = marked.join(mixed, "node", "left_semi").select(F.col("node").alias("g"), F.lit(2).alias("side"), "cls", "comp", "tree")
     if large is not None:
-        # All joins go by node and block: a node that holds a third of all classes is as many keys as it has blocks.
-        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-        marked = labelled(large)
-        lead = labelled(leaders).select("node", F.col("comp").alias("lead"), blocks)
-        outside = marked.join(lead, ["node", "block"]).where(F.col("comp") != F.col("lead"))
-        counts = outside.groupBy("node").agg(F.ceil(F.count("*") / block).cast("long").alias("shares"), F.max("blocks").alias("blocks"))
-        counts = counts.select("node", "shares", blocks)
-        share = F.pmod(F.xxhash64("cls", "node", F.lit("share")), F.col("shares"))
-        asking = outside.join(counts, ["node", "block"]).select("node", share.alias("share"), "cls", "comp", "tree", "blocks").select("node", "share", "cls", "comp", "tree", blocks)
-        asked = marked.join(counts, ["node", "block"]).select("node", "block", "cls", "comp", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
-        for side, t in enumerate((asking, asked)):
-            rows = rows.unionByName(t.select(F.xxhash64("node", "block", "share").alias("g"), F.lit(side).alias("side"), "cls", "comp", "tree"))
+        few, deep = _branched(labelled(large).select("node", "cls", "comp", "tree"), classes, block, branch)
+        rows = rows.unionByName(few.select(F.col("node").alias("g"), F.lit(2).alias("side"), "cls", "comp", "tree"))
+        rows = rows.unionByName(_crossed(deep, block))
     rows = write_table(_asking(rows.join(own, "cls"), least), "mixed-nodes")
     if not rows.isEmpty():
         sets = _sets(rows.select("cls").distinct(), docs, classes, size)

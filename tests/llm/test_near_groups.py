@@ -2,11 +2,14 @@
 
 import brute
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import near
 
 
-def test_large_groups_lose_no_link(spark):
+@pytest.mark.parametrize("branch", [256, 2])
+def test_large_groups_lose_no_link(spark, branch):
     rng = np.random.default_rng(11)
     words = np.array([f"w{k}" for k in range(5000)])
     first, passage = rng.choice(words, 120), rng.choice(words, 60)
@@ -19,5 +22,29 @@ def test_large_groups_lose_no_link(spark):
         rows.append(" ".join([*passage, *rng.choice(words, int(rng.integers(4, 30)))]))
     table = list(enumerate(rows))
     docs = spark.createDataFrame(table, "doc_id long, text string")
-    got = [tuple(r) for r in near.near_components(docs, leaf=8, block=32).collect()]
+    got = [tuple(r) for r in near.near_components(docs, leaf=8, block=32, branch=branch).collect()]
     assert sorted(got) == sorted(brute.near_components(table))
+
+
+def test_a_pair_in_a_branched_node_still_meets(spark):
+    """A node of 600 classes without links but 60 pairs of similarity 0.75: nearly all meet in a small child of the node."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(600):
+        mins = rng.integers(0, 2**32, near.HASHES, dtype=np.uint32)
+        mins[rng.random(near.HASHES) < 0.3] = 7  # boilerplate that all share
+        rows.append(mins)
+    for k in range(60):
+        near_copy = rows[k].copy()
+        other = rng.random(near.HASHES) < 0.25
+        near_copy[other] = rng.integers(0, 2**32, int(other.sum()), dtype=np.uint32)
+        rows[k + 300] = near_copy
+    table = [(b"c%03d" % k, bytearray(m.astype("<u4").tobytes())) for k, m in enumerate(rows)]
+    classes = spark.createDataFrame(table, "cls binary, mins binary")
+    nodes = classes.select(F.lit(1).cast("long").alias("node"), "cls", F.col("cls").alias("comp"), F.lit(3).alias("tree"))
+    few, deep = near._branched(nodes, classes, block=50, branch=10)
+    pick = lambda t: t.groupBy("node").agg(F.collect_set("cls").alias("c")).collect()
+    together = [set(map(bytes, r["c"])) for r in [*pick(few), *pick(deep)]]
+    met = sum(any({table[k][0], table[k + 300][0]} <= t for t in together) for k in range(60))
+    assert met >= 55 and max(len(t) for t in together) < 300
+    assert sum(len(t) ** 2 for t in together) < 600**2 / 2  # far fewer than all pairs

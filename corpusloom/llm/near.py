@@ -225,12 +225,19 @@ def _sets(need: DataFrame, docs: DataFrame, classes: DataFrame, size: int, small
     return out
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets have a similarity of 0.75 or more."""
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+def _confirm(pairs: DataFrame, sets: DataFrame, most: int = 1000) -> DataFrame:
+    """The pairs whose full sets have a similarity of 0.75 or more. A class that is the first of more than ``most`` pairs, as leaders are, has its set sent to several tasks."""
+    heavy = write_table(pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("long").alias("shares")).where("shares > 1"), "heavy")
+    known = F.broadcast(heavy) if heavy.count() <= 1_000_000 else heavy  # at most 24 MB
+    shares = F.coalesce("shares", F.lit(1).cast("long"))
+    dealt = pairs.join(known, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), shares).alias("share"))
+    first = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")).join(known, "a", "left")
+    left = dealt.join(first.select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share")), ["a", "share"])
     both = left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return write_table(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    out = write_table(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    drop(heavy)
+    return out
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

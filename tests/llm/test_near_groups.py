@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm import near
 
 
+def test_a_leader_of_many_pairs_is_split(spark):
+    rows = [(bytearray(b"a"), bytearray(b"%03d" % k)) for k in range(50)] + [(bytearray(b"b"), bytearray(b"001"))]
+    sets = [(bytearray(b"a"), list(range(20))), (bytearray(b"b"), [1])] + [(bytearray(b"%03d" % k), list(range(k, 20 + k))) for k in range(50)]
+    args = spark.createDataFrame(rows, "a binary, b binary"), spark.createDataFrame(sets, "cls binary, shingles array<long>")
+    for most in (1000, 7):
+        assert sorted(bytes(r["b"]) for r in near._confirm(*args, most=most).collect()) == [b"000", b"001", b"002"]
+
+
 @pytest.mark.parametrize("branch", [256, 2])
 def test_large_groups_lose_no_link(spark, branch):
     rng = np.random.default_rng(11)

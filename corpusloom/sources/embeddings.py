@@ -9,7 +9,8 @@ from corpusloom.functions.vectors import formatted
 
 
 def lines(weights: DataFrame, vector: str = "in_w", digits: int = 10) -> DataFrame:
-    return weights.select(F.concat_ws(" ", "word", formatted(F.col(vector).cast("array<double>"), digits)).alias("value"))
+    """value: a line a row; null where the word or its whole vector is."""
+    return weights.select(F.concat("word", F.lit(" "), formatted(F.col(vector).cast("array<double>"), digits)).alias("value"))
 
 
 def write_text(weights: DataFrame, path: str, vector: str = "in_w", single_file: bool = False) -> None:

@@ -15,7 +15,9 @@
    components, so what step 3 held back is made up for, and components are formed once more. Large ones with many classes
    outside their leader's component are branched further first, level by level, by several tokens each, as long as
    that saves pairs; what no further token splits is compared in blocks, every class outside the leader's component with all.
-   Sketches of 1024 tokens, made for the classes in these nodes only, rule out what isn't near.
+   Sketches of 1024 tokens, made for the classes in these nodes only, rule out what isn't near. What they leave is confirmed where it
+   meets, on whole sets, and only links come out: a group whose members are nearly, but not quite, similar enough has a pair
+   of every two of them. Only sets of more than WHOLE shingles aren't sent there; their pairs are confirmed as in step 4.
 
 Nothing of this is collected, and no group grows with a hot key: large nodes are blocks, and a node's size goes to its rows
 without a shuffle by its key.
@@ -32,6 +34,7 @@ without doc_id takes its component's smallest id, or none; an empty table gives
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +53,8 @@ LEVELS, CHILDREN = 4, 3
 _rng = np.random.default_rng(20240607)
 _XOR, _MUL = (_rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1) for _ in range(2))
 FINE = 1024
+#: Shingles of a set that is sent whole to the nodes of its class: 64 kB.
+WHOLE = 8192
 _FINE_XOR, _FINE_MUL = (_rng.integers(1, 2**63, FINE, dtype=np.uint64) * U(2) + U(1) for _ in range(2))
 SIGNED = "doc_id long, cls binary, n_shingles long, mins binary, sketch binary"
 
@@ -149,7 +154,7 @@ def _by_group(rows: DataFrame, pick, schema: str) -> DataFrame:
         if rest is not None and len(rest):
             yield pick(rest)
 
-    cols = rows.select("g", "side", "cls", "sketch", "n_shingles", "comp", "tree", "mins")
+    cols = rows.select("g", "side", "cls", "sketch", "n_shingles", "comp", "tree", "mins", *[c for c in rows.columns if c == "whole"])
     return cols.repartition("g").sortWithinPartitions("g", F.col("side").desc(), "cls").mapInArrow(run, schema)
 
 
@@ -171,18 +176,20 @@ def _asking(rows: DataFrame, least: int) -> DataFrame:
     return _by_group(rows, pick, "g long, side int, cls binary, comp binary, tree int")
 
 
-def _candidates(rows: DataFrame, across: bool, least: int, trees: int) -> DataFrame:
-    """Candidate pairs a < b.
+def _ordered(t: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of pairs, the smaller first, and which pairs are of two."""
+    cls = np.array(t.column("cls").to_pylist(), object)
+    a, b = cls[i], cls[j]
+    swap = a > b
+    return np.stack([np.where(swap, b, a), np.where(swap, a, b)]), a != b
 
-    Sides 0 and 1 are compared with each other, side 2 with all. across: all pairs of different
-    components, each from the first tree whose whole path the two share (or from wherever they meet, if
-    they share none); else the best partner of each row, and all of its group's first row.
-    """
+
+def _candidates(rows: DataFrame, least: int) -> DataFrame:
+    """Candidate pairs a < b: the best partner of each row, and all of its group's first row."""
 
     def pick(t: pa.Table) -> pa.RecordBatch:
-        i, j, same = _found(t, across, least)
-        cls = np.array(t.column("cls").to_pylist(), object)
-        if not across and len(i):
+        i, j, same = _found(t, False, least)
+        if len(i):
             g = t.column("g").to_numpy()
             first = np.concatenate([[True], g[1:] != g[:-1]])
             who, other = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
@@ -190,21 +197,54 @@ def _candidates(rows: DataFrame, across: bool, least: int, trees: int) -> DataFr
             best = other[order[np.concatenate([[True], np.diff(who[order]) > 0])]]
             use = np.unique(np.concatenate([best, np.flatnonzero(first[i])]))
             i, j = i[use], j[use]
-        if across and len(i):
-            mins = np.frombuffer(b"".join(t.column("mins").to_pylist()), "<u4").reshape(len(t), HASHES)
-            equal = mins[i] == mins[j]
-            whole = np.all([equal[:, [(k + level * trees) % HASHES for k in range(trees)]] for level in range(DEPTH)], 0)
-            own = ~whole.any(1) | (whole.argmax(1) == t.column("tree").to_numpy()[i]) | (t.column("tree").to_numpy()[i] < 0)
-            i, j = i[own], j[own]
-        a, b = cls[i], cls[j]
-        ok = a != b
-        swap = a > b
-        a, b = np.where(swap, b, a)[ok], np.where(swap, a, b)[ok]
-        return pa.RecordBatch.from_arrays([pa.array(a.tolist(), pa.binary()), pa.array(b.tolist(), pa.binary())], ["a", "b"])
+        (a, b), ok = _ordered(t, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(a[ok].tolist(), pa.binary()), pa.array(b[ok].tolist(), pa.binary())], ["a", "b"])
 
     return _by_group(rows, pick, "a binary, b binary").distinct()
 
 
+def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, some: int = 128) -> np.ndarray:
+    """Which pairs of sorted sets have a similarity of 0.75 or more."""
+    out, order = np.zeros(len(i), bool), np.argsort(i, kind="stable")
+    cuts = [*np.flatnonzero(np.diff(i[order], prepend=-1)).tolist(), len(order)]
+    for lo, hi in itertools.pairwise(cuts):
+        one = sets[i[order[lo]]]
+        for at in range(lo, hi, some):
+            pairs = order[at : min(hi, at + some)]
+            others = [sets[k] for k in j[pairs]]
+            sizes = np.array([len(x) for x in others])
+            flat = np.concatenate(others)
+            common = np.add.reduceat(one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+            out[pairs] = 100 * common >= 75 * (len(one) + sizes - common)
+    return out
+
+
+def _links_across(rows: DataFrame, least: int, trees: int) -> DataFrame:
+    """Pairs a < b of different components of rows that have their whole sets: links, sure; and pairs of sets too large for that, which aren't sure.
+
+    Sides 0 and 1 are compared with each other, side 2 with all. A pair is taken from the first tree whose whole path the two share (or from wherever
+    they meet, if they share none).
+    """
+
+    def pick(t: pa.Table) -> pa.RecordBatch:
+        i, j, _ = _found(t, True, least)
+        mins, tree = np.frombuffer(b"".join(t.column("mins").to_pylist()), "<u4").reshape(len(t), HASHES), t.column("tree").to_numpy()
+        equal = mins[i] == mins[j]
+        path = np.all([equal[:, [(k + level * trees) % HASHES for k in range(trees)]] for level in range(DEPTH)], 0)
+        own = ~path.any(1) | (path.argmax(1) == tree[i]) | (tree[i] < 0)
+        i, j = i[own], j[own]
+        whole = t.column("whole").to_pylist()
+        known = np.array([x is not None for x in whole], bool)
+        sure = known[i] & known[j]
+        good = ~sure
+        good[sure] = similar([np.frombuffer(x or b"", "<u8") for x in whole], i[sure], j[sure])
+        (a, b), ok = _ordered(t, i, j)
+        ok &= good
+        return pa.RecordBatch.from_arrays([pa.array(a[ok].tolist(), pa.binary()), pa.array(b[ok].tolist(), pa.binary()), pa.array(sure[ok])], ["a", "b", "sure"])
+
+    return _by_group(rows, pick, "a binary, b binary, sure boolean").distinct()
+
+
 def _sets(need: DataFrame, docs: DataFrame, classes: DataFrame, size: int, small: int = 1_000_000) -> DataFrame:
     """cls and shingles, a written table, of the classes in ``need`` (cls): made again from one document of each."""
 
@@ -244,13 +284,16 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
-def _fine_sketches(sets: DataFrame) -> DataFrame:
+def _fine_sketches(sets: DataFrame, most: int) -> DataFrame:
+    """cls, sketch, and whole, the set itself as bytes if it has at most ``most`` elements."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sketches = [fine_sketch(s.values.to_numpy().view(np.uint64)) for s in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches, pa.binary())], ["cls", "sketch"])
+            found = [np.sort(s.values.to_numpy().view(np.uint64)) for s in b.column(1)]
+            sketches, whole = [fine_sketch(s) for s in found], [s.astype("<u8").tobytes() if len(s) <= most else None for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches, pa.binary()), pa.array(whole, pa.binary())], ["cls", "sketch", "whole"])
 
-    return sets.mapInArrow(run, "cls binary, sketch binary")
+    return sets.mapInArrow(run, "cls binary, sketch binary, whole binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -348,7 +391,7 @@ def _crossed(rows: DataFrame, block: int) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def near_components(docs: DataFrame, size: int = 5, trees: int = 16, leaf: int = 64, block: int = 512, branch: int = 256, least: int = 32, least_fine: int = 702) -> DataFrame:
+def near_components(docs: DataFrame, size: int = 5, trees: int = 16, leaf: int = 64, block: int = 512, branch: int = 256, least: int = 32, least_fine: int = 702, whole: int = WHOLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     short_batches(spark)
@@ -374,7 +417,7 @@ def near_components(docs: DataFrame, size: int = 5, trees: int = 16, leaf: int =
         rows = rows.unionByName(spread.select(F.xxhash64("node", "block").alias("g"), F.lit(2).alias("side"), "cls", blank.alias("comp"), "tree"))
         # within a block members are compared with one another too
         rows = rows.withColumn("side", F.lit(2))
-    tested = write_table(_candidates(rows.join(own, "cls"), False, least, trees), "pairs")
+    tested = write_table(_candidates(rows.join(own, "cls"), least), "pairs")
     sets = _sets(_ends(tested), docs, classes, size)
     links = _confirm(tested, sets)
     drop(sets)
@@ -394,9 +437,12 @@ def near_components(docs: DataFrame, size: int = 5, trees: int = 16, leaf: int =
     rows = write_table(_asking(rows.join(own, "cls"), least), "mixed-nodes")
     if not rows.isEmpty():
         sets = _sets(rows.select("cls").distinct(), docs, classes, size)
-        fine = write_table(_fine_sketches(sets).join(classes.select("cls", "n_shingles", "mins"), "cls"), "fine-sketches")
-        more = write_table(_candidates(rows.join(fine, "cls"), True, least_fine, trees).join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_confirm(more, sets))
+        fine = write_table(_fine_sketches(sets, whole).join(classes.select("cls", "n_shingles", "mins"), "cls"), "fine-sketches")
+        # Whole sets go only to the nodes where sketches leave a pair of theirs.
+        rows = write_table(_asking(rows.join(fine.drop("whole"), "cls"), least_fine), "near-nodes")
+        found = write_table(_links_across(rows.join(fine, "cls"), least_fine, trees), "links-across")
+        more = write_table(found.where("not sure").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(found.where("sure").select("a", "b")).unionByName(_confirm(more, sets))
         comps = write_table(components(links), "components")
         drop(sets, fine)
     free_shuffles(spark)

@@ -56,3 +56,35 @@ def test_a_pair_in_a_branched_node_still_meets(spark):
     met = sum(any({table[k][0], table[k + 300][0]} <= t for t in together) for k in range(60))
     assert met >= 55 and max(len(t) for t in together) < 300
     assert sum(len(t) ** 2 for t in together) < 600**2 / 2  # far fewer than all pairs
+
+
+@pytest.mark.parametrize("whole", [near.WHOLE, 100])
+def test_a_group_of_nearly_similar_texts_makes_no_pair_of_every_two(spark, monkeypatch, whole):
+    """200 texts with a similarity of 0.72 to one another, and links among some: only links come out of their nodes, but for sets too large to be sent there."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(50_000)])
+    passage = rng.choice(words, 150)
+    rows = [[*passage, *rng.choice(words, 28)] for _ in range(200)]
+    rows += [[*rows[k], *rng.choice(words, 3)] for k in range(0, 200, 10)]
+    table = [(k, " ".join(t)) for k, t in enumerate(rows)]
+    made, by_group = [], near._by_group
+
+    def counted(rows_, pick, schema):
+        out = near.write_table(by_group(rows_, pick, schema), "made")
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "_by_group", counted)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = [tuple(r) for r in near.near_components(docs, leaf=8, block=32, branch=2, **({"whole": whole} if whole < near.WHOLE else {})).collect()]
+    assert sorted(got) == sorted(brute.near_components(table))
+    assert whole < near.WHOLE or made[-1] < 1000
+
+
+def test_similar_counts_whole_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for _ in range(40)] + [np.arange(k, dtype=np.uint64) for k in (1, 2, 3, 4)]
+    i, j = np.triu_indices(len(sets), 1)
+    want = [100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b])) for a, b in zip(i, j, strict=True)]
+    assert near.similar(sets, i, j, some=3).tolist() == want and any(want)
+    assert near.similar(sets, i[:0], j[:0]).tolist() == []

@@ -136,3 +136,29 @@ def test_negatives_of_a_tiny_owner():
     drawn, valid = s.sample(np.array([[0, -1]] * 20), 5)
     assert (valid.sum(1) == 2).all()
     assert all(set(d[v]) == {1, 2} for d, v in zip(drawn, valid, strict=True))
+
+
+@pytest.mark.parametrize("name", ["counted_pairs"])
+def test_words_near_a_place_without_a_shuffle(spark, name):
+    """Batches of any size, ids that repeat, a large vocabulary: all the same; and pairs aren't shuffled where ids don't repeat."""
+    from corpusloom.storage import materialise
+
+    rng = np.random.default_rng(6)
+    words = np.array(["a", "B", "é", "z", "c", "ab", "😀", "\uffff", *(f"x{k}" for k in range(20))])
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 40)))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, None), (101, ""), (102, "a"), (103, "a b"), (104, "a a a a")], "doc_id long, text string").repartition(3)
+    vocab = [(w, k, k % 2) for k, w in enumerate(words) if k != 9]
+    vocab = materialise(spark.createDataFrame(vocab, "word string, global_idx long, owner int"), "vocabulary")
+    f = lambda d, **more: getattr(skipgrams, name)(d, vocab, 3, **more)
+    rows = lambda t: sorted(map(repr, t.collect()))
+    twice = docs.unionByName(docs.where("doc_id % 7 = 0"))
+    try:
+        for d, want in ((docs, rows(f(docs, most=3))), (twice, rows(f(twice, repeated=0)))):
+            assert len(want) > 500
+            for size in (1, 2, 5, 10_000):
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+                assert rows(f(d)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = f(docs.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange")

@@ -138,7 +138,7 @@ def test_negatives_of_a_tiny_owner():
     assert all(set(d[v]) == {1, 2} for d, v in zip(drawn, valid, strict=True))
 
 
-@pytest.mark.parametrize("name", ["counted_pairs"])
+@pytest.mark.parametrize("name", ["counted_pairs", "joined_inputs"])
 def test_words_near_a_place_without_a_shuffle(spark, name):
     """Batches of any size, ids that repeat, a large vocabulary: all the same; and pairs aren't shuffled where ids don't repeat."""
     from corpusloom.storage import materialise

@@ -162,3 +162,21 @@ def test_words_near_a_place_without_a_shuffle(spark, name):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = f(docs.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
+def test_negatives_of_a_pair_are_its_own_and_pairs_are_shuffled_once(spark):
+    """However pairs come, by broadcast counts or by owners' tasks, a pair's negatives are the same; they follow the counts; a pair of a small owner is kept, without any."""
+    from corpusloom.storage import materialise
+
+    words = [(k, 0, k, 1000 if k < 5 else 10) for k in range(50)] + [(50, 1, 0, 7)]
+    vocab = materialise(spark.createDataFrame(words, "global_idx long, owner int, local_idx int, cnt long"), "vocabulary")
+    rows = [(0, a, b) for a in range(50) for b in range(51)] * 2 + [(1, 50, 3)]
+    pairs = spark.createDataFrame(rows, "owner int, out_idx long, in_idx long")
+    got = [{(r["out_idx"], r["in_idx"]): tuple(r["negatives"]) for r in sampling.negatives(pairs.repartition(k), vocab, 3, seed, most).collect()} for k, seed, most in ((1, 1, None), (7, 1, None), (3, 1, 5), (1, 2, None))]
+    assert got[0] == got[1] == got[2] != got[3]
+    assert len(got[0]) == 50 * 51 + 1 and got[0].pop((50, 3)) == ()
+    assert all(len(set(v)) == 3 and not {*pair} & {*v} for pair, v in got[0].items())
+    drawn = np.bincount(np.concatenate([v for v in got[0].values()]), minlength=50)
+    assert drawn[:5].min() > 10 * drawn[5:].max() / 2 and drawn.min() > 0
+    plan = sampling.negatives(pairs, vocab, 3, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

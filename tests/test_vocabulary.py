@@ -180,3 +180,17 @@ def test_negatives_of_a_pair_are_its_own_and_pairs_are_shuffled_once(spark):
     assert drawn[:5].min() > 10 * drawn[5:].max() / 2 and drawn.min() > 0
     plan = sampling.negatives(pairs, vocab, 3, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize(("size", "tokens", "held"), [(1, 1, 4), (2, 5, 3), (7, 1000, 5), (1000, 10**6, 100), (10**6, 10**9, 1000)])
+def test_packed_pairs_come_back_distinct(size, tokens, held):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    codes = sampling._Codes(size, tokens, held)
+    a, b = rng.integers(0, size, 2000), rng.integers(0, size, 2000)
+    a[:2], b[:2] = (0, size - 1), (size - 1, 0)
+    batches = [pa.RecordBatch.from_pydict({"out_idx": a[i : i + 64], "in_idx": b[i : i + 64]}) for i in range(0, 2000, 64)]
+    packed = pa.Table.from_batches(list(codes.pack(iter(batches)))).sort_by("bucket")
+    got = [(x, y) for p in codes.distinct(iter(packed.to_batches(max_chunksize=3)), rows=11) for x, y in zip(*(v.tolist() for v in p), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist(), strict=True))

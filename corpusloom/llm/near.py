@@ -318,14 +318,21 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
+def _leading(rows: DataFrame) -> DataFrame:
+    """node, n, lead, outside of rows (node, cls, comp): the component with most of a node's classes, and how many classes aren't in it."""
+    each = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    most = each.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("most"))
+    return most.select("node", "n", F.col("most.comp").alias("lead"), (F.col("n") - F.col("most.c")).alias("outside"))
+
+
 def _outside(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, cls, comp, tree) with blocks and block; and of each node with several components blocks, leader and ``outside``: how many classes aren't in its component.
+    """Rows (node, cls, comp, tree) with blocks and block; and of each node with several components blocks, lead and ``outside``: how many classes aren't in that component.
 
-    The leader is a node's least class. All joins go by node and block: a node that holds a third of all classes is as many keys as it has blocks.
+    It is the component with most of a node's classes. All joins go by node and block: a node that holds a third of all classes is as many keys as it has blocks.
     """
-    sizes = write_table(rows.groupBy("node").agg(F.min(F.struct("cls", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")), "node-sizes")
+    sizes = write_table(_leading(rows), "node-sizes")
     total = rows.count()
-    dealt = join_hot(rows, sizes.where("lo <> hi").select("node", "n", F.col("lead.comp").alias("lead"), F.ceil(F.col("n") / block).cast("long").alias("blocks")), "node", "n", total)
+    dealt = join_hot(rows, sizes.where("outside > 0").select("node", "n", "lead", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "node", "n", total)
     dealt = write_table(dealt.withColumn("block", F.pmod(F.xxhash64("cls", "node"), F.col("blocks"))), "mixed-large")
     counts = dealt.groupBy("node").agg(F.max("blocks").alias("blocks"), F.max("n").alias("n"), F.count(F.when(F.col("comp") != F.col("lead"), 1)).alias("outside"))
     drop(sizes)
@@ -333,7 +340,7 @@ def _outside(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _branched(rows: DataFrame, classes: DataFrame, block: int, branch: int) -> tuple[DataFrame, DataFrame]:
-    """Large nodes with many classes outside their leader's component, branched by further tokens: what has become small, and what hasn't.
+    """Large nodes with many classes outside their leading component, branched by further tokens: what has become small, and what hasn't.
 
     A class goes to CHILDREN nodes, one for each of the tokens that the node's key picks, so a pair of similarity 0.75 still meets in one
     with probability 0.98. Children of one component end there. A node whose children would have most of its pairs to compare again
@@ -379,9 +386,38 @@ def _every(blocks: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)).alias("block")
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """The rows (node, cls, comp, tree) with nodes that mostly share their classes made one: what a group has in common gives it a large node in each tree.
+
+    A node goes with the one that is, for most of its classes, the largest they are in. All pairs of the merged nodes still meet, and once. Nodes
+    are left as they are where that would give more pairs to compare. A merged node's tree number is below zero.
+    """
+    rows = write_table(rows, "deep")
+    sizes, total = write_table(_leading(rows), "deep-sizes"), rows.count()
+    sized = join_hot(rows, sizes, "node", "n", total).select("node", "cls", "n")
+    top = sized.groupBy("cls").agg(F.max(F.struct("n", "node"))["node"].alias("up"))
+    votes = rows.select("node", "cls").join(top, "cls").groupBy("node", "up").agg(F.count("*").alias("c"))
+    ups = votes.groupBy("node").agg(F.max(F.struct("c", "up"))["up"].alias("up")).join(sizes, "node")
+    ups = write_table(ups.select("node", "up", "n", (F.col("n").cast("double") * F.col("outside")).alias("work")), "deep-ups")
+    # A node goes only with one that stays where it is.
+    roots = ups.where("node = up").select(F.col("node").alias("root"))
+    member = ups.join(roots, ups["up"] == roots["root"]).select("node", "root", "n", "work")
+    member = write_table(member.join(member.groupBy("root").agg(F.count("*").alias("nodes")).where("nodes > 1").select("root"), "root", "left_semi"), "deep-members")
+    joined = write_table(join_hot(rows, member, "node", "n", total).select(F.col("root").alias("node"), "cls", "comp").distinct(), "deep-merged")
+    before = member.groupBy(F.col("root").alias("node")).agg(F.sum("work").alias("before"))
+    less = _leading(joined).join(before, "node").where(F.col("n").cast("double") * F.col("outside") <= F.col("before"))
+    less = write_table(less.select(F.col("node").alias("root"), F.col("n").alias("all")), "deep-less")
+    gone = member.join(less, "root", "left_semi").select("node", "n")
+    taken = join_hot(joined, less.select(F.col("root").alias("node"), "all"), "node", "all", joined.count()).select("node", "cls", "comp", F.lit(-1).alias("tree"))
+    stay = sizes.join(gone.select("node"), "node", "left_anti").select("node", "n")
+    out = write_table(join_hot(rows, stay, "node", "n", total).select("node", "cls", "comp", "tree").unionByName(taken), "deep-nodes")
+    drop(rows, sizes, ups, member, joined, less)
+    return out
+
+
 def _crossed(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (g, side, cls, comp, tree) in which every class outside its node's leader's component meets all classes of the node, block by block."""
-    dealt, counts = _outside(rows, block)
+    """Rows (g, side, cls, comp, tree) in which every class outside its node's leading component meets all classes of the node, block by block."""
+    dealt, counts = _outside(_merged(rows), block)
     counts = counts.where("outside > 0").withColumn("shares", F.ceil(F.col("outside") / block).cast("long")).select("node", "blocks", "shares", _every("blocks"))
     both = dealt.drop("blocks").join(counts, ["node", "block"])
     share = F.pmod(F.xxhash64("cls", "node", F.lit("share")), F.col("shares"))

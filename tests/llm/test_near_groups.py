@@ -58,6 +58,29 @@ def test_a_pair_in_a_branched_node_still_meets(spark):
     assert sum(len(t) ** 2 for t in together) < 600**2 / 2  # far fewer than all pairs
 
 
+def test_a_group_with_a_large_node_in_each_tree_is_crossed_once(spark):
+    """8 trees hold most of the same 300 classes, 180 of them of one component: no pair across components is lost, and rows are those of about one node."""
+    rng = np.random.default_rng(21)
+    names = [b"%03d" % k for k in rng.permutation(300)]
+    comp = [b"c" if k < 180 else names[k] for k in range(300)]
+    held = [np.sort(rng.choice(300, 210, replace=False)) for _ in range(8)]
+    apart = [(b"x%02d" % k, b"x%02d" % k) for k in range(40)]  # a node that shares nothing with the others
+    table = [(t, names[k], comp[k], t) for t, ks in enumerate(held) for k in ks] + [(99, *x, 3) for x in apart]
+    rows = spark.createDataFrame(table, "node long, cls binary, comp binary, tree int")
+    got = near._crossed(rows, 16).collect()
+    met, groups = set(), {}
+    for r in got:
+        groups.setdefault(r["g"], ([], []))[r["side"]].append(bytes(r["cls"]))
+    for asking, asked in groups.values():
+        met |= {frozenset((a, b)) for a in asking for b in asked}
+    label = dict(zip(names, comp, strict=True)) | dict(apart)
+    want = {frozenset((names[a], names[b])) for ks in held for a in ks for b in ks} | {frozenset((a, b)) for a, _ in apart for b, _ in apart}
+    assert {p for p in want if len(p) == 2 and len({label[x] for x in p}) == 2} <= met
+    blocks, shares = -(-300 // 16), -(-120 // 16)
+    assert len(got) <= 120 * blocks + 300 * shares + 40 * 3 * 2
+    assert {r["tree"] for r in got if bytes(r["cls"]) in names} == {-1} and {r["tree"] for r in got if bytes(r["cls"]).startswith(b"x")} == {3}
+
+
 @pytest.mark.parametrize("whole", [near.WHOLE, 100])
 def test_a_group_of_nearly_similar_texts_makes_no_pair_of_every_two(spark, monkeypatch, whole):
     """200 texts with a similarity of 0.72 to one another, and links among some: only links come out of their nodes, but for sets too large to be sent there."""

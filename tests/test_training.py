@@ -180,6 +180,57 @@ def test_two_topics_come_apart(spark):
     assert all(np.allclose(again[w], v[w]) for w in v)  # seeded
 
 
+def test_first_weights_are_the_numbers_of_the_expression(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 40))) for k in range(60)], "doc_id long, text string")
+    c = EmbeddingConfig(dimensions=7, owners=3, sample=1e9, min_count=1)
+    vocab = materialise(vocabulary(docs, c), "vocab")
+    packed = training.first_weights(vocab, c)
+    assert dict(packed.dtypes)["in_w"] == dict(packed.dtypes)["out_w"] == "binary"
+    want = vocab.select("global_idx", *[training.initial_vector(F.col("global_idx"), side, 7, c.seed).alias(side) for side in ("in", "out")])
+    got = {r["global_idx"]: r for r in packed.collect()}
+    for r in want.collect():
+        for side in ("in", "out"):
+            assert np.allclose(np.frombuffer(got[r["global_idx"]][f"{side}_w"], "<f4"), r[side], atol=1e-7)
+    assert len(got) == vocab.count() > 90
+
+
+def test_inputs_are_averaged_by_their_updates(spark):
+    """Bytes in and out; words that no owner trained stay, however rows are cut into batches."""
+    rng = np.random.default_rng(12)
+    old, got, want = [], [], {}
+    raw = lambda v: bytearray(np.asarray(v, "<f4").tobytes())
+    for k in range(300):
+        w_in, w_out, new = (unit(rng.normal(size=4)) for _ in range(3))
+        old.append((f"w{k}", k % 3, 5, k, raw(w_in), raw(w_out)))
+        parts = [(unit(rng.normal(size=4)), int(rng.integers(1, 9))) for _ in range(k % 4)]
+        got += [(k, 2, raw(v), n) for v, n in parts]
+        if k % 2:
+            got.append((k, 1, raw(new), 1))
+        want[k] = unit(sum(v * n for v, n in parts)) if parts else w_in, new if k % 2 else w_out
+    rows = spark.createDataFrame(old, training.WEIGHTS), spark.createDataFrame(got, training.STEP)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = training.averaged(*rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r["word"], r["owner"], r["cnt"], r["global_idx"]) for r in out) == sorted(x[:4] for x in old)
+    for r in out:
+        for side, v in zip(("in_w", "out_w"), want[r["global_idx"]], strict=True):
+            assert np.allclose(np.frombuffer(r[side], "<f4"), v, atol=1e-6)
+
+
+def test_steps_of_a_word_add_up():
+    rng = np.random.default_rng(13)
+    w, steps = rng.normal(size=(6, 3)), rng.normal(size=(4, 3))
+    rows, take = rng.integers(0, 5, 40), rng.integers(0, 4, 40)
+    want = w.copy()
+    np.add.at(want, rows, steps[take])
+    want[:5] = [unit(v) for v in want[:5]]
+    training._apply(w, rows, steps, take)
+    assert np.allclose(w, want)
+
+
 def test_nothing_to_train(spark):
     docs = spark.createDataFrame([(1, None), (2, "a")], "doc_id long, text string")
     assert train(docs, EmbeddingConfig(dimensions=2, epochs=1, owners=2)).select(F.col("word")).count() == 0

@@ -12,7 +12,7 @@ from corpusloom.storage import discard as drop
 from corpusloom.storage import materialise as write_table
 from corpusloom.storage import new_path
 
-__all__ = ["drop", "free_shuffles", "join_hot", "let", "new_path", "read", "short_batches", "write_table"]
+__all__ = ["drop", "free_shuffles", "join_hot", "let", "new_path", "read", "short_batches", "short_reads", "write_table"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def short_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def short_reads(spark: SparkSession, rows: int = 256) -> None:
+    """From now on at most ``rows`` rows are read from Parquet at once in this session: the JVM holds a batch's texts in one array, which takes whole regions of its heap."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key, "4096")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     for _ in range(2):  # Python's references first, then what they held in the JVM; the cleaner follows by itself

@@ -19,7 +19,8 @@ Contexts are compared byte by byte; hashes only route them. Copies within a bloc
 context, so a hot passage reaches its bucket once a block, not once a document.
 
 Blocks are written in buckets by their number, so that only notes are shuffled to them; sizes of blocks and buckets grow with
-the square root of the corpus, which keeps the number of notes in proportion to it (see side()).
+the square root of the corpus, which keeps the number of notes in proportion to it (see side()). A block is stored in pieces of at
+most PIECE bytes, in row groups of a few of them: a JVM sets aside whole regions for every large row and column, and its heap grows by them.
 
 Defined results: null or empty text has no bytes; rows that repeat a doc_id don't count as smaller
 than one another; a null doc_id ranks after all others; an empty table gives no rows. Digests are those of all bytes left; where texts
@@ -39,12 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.anchors import runs, shape
-from corpusloom.llm.common import free_shuffles, new_path, short_batches, write_table
+from corpusloom.llm.common import free_shuffles, new_path, short_batches, short_reads, write_table
 from corpusloom.llm.suffixsort import classes
 
 U = np.uint64
 LAST = 2**63 - 1
-BLOCK = "block long, n_bytes long, ids binary, sizes binary, data binary, rest binary"
+PIECE, ROW_GROUP = 128 << 10, 1 << 20
+BLOCK = "block long, piece int, data binary"
 NOTE = "block long, bucket int, kind int, payload binary"
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -88,9 +90,9 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                     w.write_batch(rest)
                 ids = np.array([LAST if d is None else d for d in b.column(1).slice(i, j - i).to_pylist()], np.int64)
                 data = np.frombuffer(b"".join(t for t in texts[i:j] if t), np.uint8)
-                yield pa.RecordBatch.from_pydict(
-                    {"block": pa.array([block], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "sizes": pa.array([sizes[i:j].tobytes()], pa.binary()), "data": pa.array([_squeeze(data)], pa.binary()), "rest": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
-                )
+                whole = _squeeze(ids, sizes[i:j], data, np.frombuffer(sink.getvalue(), np.uint8))
+                pieces = [whole[k : k + PIECE] for k in range(0, len(whole), PIECE)]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(pieces), pa.int64()), "piece": pa.array(range(len(pieces)), pa.int32()), "data": pa.array(pieces, pa.binary())})
                 block += 1
 
     named = docs.select(F.col("text").alias("_text"), F.col("doc_id").alias("_id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
@@ -100,9 +102,9 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 class Block:
     """One block's documents and the runs of their windows, sorted by anchor hash."""
 
-    def __init__(self, row: dict, length: int) -> None:
-        self.length, (self.data,) = length, _unsqueeze(row["data"], "u1")
-        self.ids, self.sizes = (np.frombuffer(row[c], np.int64) for c in ("ids", "sizes"))
+    def __init__(self, pieces: pa.Table, length: int) -> None:
+        data = pieces.sort_by("piece").column("data").to_pylist()
+        self.length, (self.ids, self.sizes, self.data, self.rest) = length, _unsqueeze(b"".join(data), "i8", "i8", "u1", "u1")
         self.ends = np.cumsum(np.maximum(self.sizes, 0))
         key, anchor, first, last = runs(self.data, self.ends, length)
         order = np.argsort(key)
@@ -176,22 +178,16 @@ def _notes(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["block", "bucket", "kind", "payload"])
 
 
-def _row(t: pa.Table) -> dict:
-    return {c: t.column(c)[0].as_py() for c in t.column_names}
-
-
 def _hashes(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
     """Step 2: each block's hashes, a note a bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, _, shared = Block(row, length).unique()
-                cut = _cuts(key, buckets)
-                out = [(row["block"], b, 0, _squeeze(key[i:j], np.packbits(shared[i:j]))) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
-                yield from _notes(out).to_batches()
+    def run(t: pa.Table) -> pa.Table:
+        key, _, shared = Block(t, length).unique()
+        cut = _cuts(key, buckets)
+        number = t.column("block")[0].as_py()
+        return _notes([(number, b, 0, _squeeze(key[i:j], np.packbits(shared[i:j]))) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j])
 
-    return blocks.mapInArrow(run, NOTE)
+    return blocks.groupBy("block").applyInArrow(run, NOTE)
 
 
 def _repeated(t: pa.Table) -> pa.Table:
@@ -212,7 +208,7 @@ def _repeated(t: pa.Table) -> pa.Table:
 
 
 def _surviving(left: pa.Table, notes: list[dict], buckets: int, length: int) -> Block:
-    block = Block(_row(left), length)
+    block = Block(left, length)
     key, _, _ = block.unique()
     cut, bits = _cuts(key, buckets), np.zeros(len(key), bool)
     for n in notes:
@@ -339,7 +335,7 @@ def _cutter(buckets: int, length: int, schema: T.StructType | None, names: list[
         notes = right.to_pylist()
         block = _surviving(left, notes, buckets, length)
         gone = removed(block, notes, buckets)
-        rest = pa.ipc.open_stream(_row(left)["rest"]).read_all()
+        rest = pa.ipc.open_stream(pa.py_buffer(block.rest)).read_all()
         out, start = [], 0
         for n, end in zip(block.sizes.tolist(), block.ends.tolist(), strict=True):
             g = gone[start:end]
@@ -377,7 +373,9 @@ def _stored(blocks: DataFrame, parts: int) -> DataFrame:
     """Blocks as a table that is written in buckets by block, so that notes come to them and they are shuffled once, not at each step."""
     spark, name = blocks.sparkSession, f"corpusloom_blocks_{uuid.uuid4().hex}"
     path = new_path(spark, "blocks")
-    blocks.repartition(parts, "block").write.format("parquet").option("path", path).bucketBy(parts, "block").sortBy("block").saveAsTable(name)
+    # Pieces are compressed already; sizes of row groups and pages are looked at after each row, not after a hundred.
+    small = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    blocks.repartition(parts, "block").write.format("parquet").options(path=path, **small).bucketBy(parts, "block").sortBy("block").saveAsTable(name)
     out = spark.table(name)
     out.stored_at = path
     spark.sql(f"DROP TABLE {name}")  # from the catalog: the files stay, and the plan has them
@@ -392,6 +390,7 @@ def dedup(docs: DataFrame, length: int = 50, block_bytes: int | None = None, buc
     """
     spark = docs.sparkSession
     short_batches(spark)
+    short_reads(spark)
     named = docs if texts else docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = min(100_000, max(spark.sparkContext.defaultParallelism, total // (16 << 20)))

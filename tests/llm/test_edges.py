@@ -1,7 +1,13 @@
 """Nulls, empty and long texts, ties and repeated rows, empty tables, clashing names."""
 
+import hashlib
+import random
+from pathlib import Path
+
 import brute
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from support import SMALL
 
 import corpus_pipeline
@@ -108,3 +114,20 @@ def test_block_sizes_keep_the_number_of_notes_in_proportion():
     for total in (2 << 30, 8 << 30, 30 << 30):
         assert 0.9 < notes(2 * total) / notes(total) / 2 < 1.1
     assert suffixes.side(1) == 2 << 20 and suffixes.side(1e15) == 32 << 20
+
+
+def test_stored_blocks_have_small_rows_and_row_groups(spark):
+    noise = random.Random(5).randbytes(1_500_000).hex()
+    rows = [(1, noise), (2, noise[1000:900_000] + "x"), (3, None), (4, "start " + noise[2_000_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = suffixes._stored(suffixes._blocks(docs.coalesce(1), 32 << 20), 2)
+    binary = [c for c, kind in stored.dtypes if kind == "binary"]
+    assert stored.select(F.max(F.greatest(F.lit(0), *[F.octet_length(c) for c in binary]))).first()[0] <= 128 << 10
+    files = [pq.ParquetFile(p).metadata for p in Path(stored.stored_at.removeprefix("file:")).glob("*.parquet")]
+    sizes = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    assert sum(sizes) > 2 << 20 and max(sizes) < 5 << 18
+    got = {r["doc_id"]: r for r in suffixes.substring_dedup(docs).collect()}
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+    gone = [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in (got[k] for k in range(1, 5))]
+    assert gone == [(3_000_000, 0, 0), (899_001, 899_000, 1), (0, 0, 0), (1_000_006, 1_000_000, 1)]
+    assert got[2]["kept_sha256"] == hashlib.sha256(b"x").hexdigest() and got[4]["kept_sha256"] == hashlib.sha256(b"start ").hexdigest()

@@ -194,3 +194,34 @@ def test_packed_pairs_come_back_distinct(size, tokens, held):
     packed = pa.Table.from_batches(list(codes.pack(iter(batches)))).sort_by("bucket")
     got = [(x, y) for p in codes.distinct(iter(packed.to_batches(max_chunksize=3)), rows=11) for x, y in zip(*(v.tolist() for v in p), strict=True)]
     assert len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("name", ["joined_inputs"])
+def test_words_near_a_place_with_a_large_vocabulary(spark, name, monkeypatch):
+    """In parts of any number the results are those of a plain loop, and neither tokens nor pairs are shuffled: only texts by part, and words of parts."""
+    from corpusloom.storage import materialise
+
+    rng = np.random.default_rng(7)
+    words = ["a", "B", "é", "z", "ab", "😀", "￿", *(f"x{k}" for k in range(20))]
+    ids = [*range(20), -1, -(2**62), 2**62, *range(5000, 60_000, 3000)]
+    texts = {d: " ".join(rng.choice(words, int(rng.integers(0, 40)))) for d in ids} | {97: None, 98: "", 99: "x1"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    known = {w.lower() for w in words if w not in ("x3", "x4", "a")}
+    vocab = materialise(spark.createDataFrame([(w, k, k % 2) for k, w in enumerate(sorted(known))], "word string, global_idx long, owner int"), "vocabulary")
+    near: dict[tuple, Counter] = {}
+    for d, text in texts.items():
+        flat = [w for w in (text or "").lower().split(" ") if w]
+        for i, w in enumerate(flat):
+            around = [flat[j] for j in range(max(0, i - 3), min(len(flat), i + 4)) if j != i and flat[j] in known]
+            if w in known and around:
+                near[d, i, w] = Counter(around)
+    if name == "joined_inputs":
+        want = Counter((*k, " ".join(sorted(v.elements(), key=str.encode))) for k, v in near.items())
+    else:
+        want = Counter((*k, w, n) for k, v in near.items() for w, n in v.items())
+    for size in (1 << 24, 60):
+        monkeypatch.setattr(skipgrams, "PART_BYTES", size, raising=False)
+        got = getattr(skipgrams, name)(docs, vocab, 3, most=0)
+        assert Counter(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "pos" not in " ".join(x for x in plan.split("\n") if "Aggregate" in x or "RepartitionBy" in x) and plan.count("Join") == 1 + plan.count("LeftAnti")

@@ -196,7 +196,7 @@ def test_packed_pairs_come_back_distinct(size, tokens, held):
     assert len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist(), strict=True))
 
 
-@pytest.mark.parametrize("name", ["joined_inputs"])
+@pytest.mark.parametrize("name", ["joined_inputs", "counted_pairs"])
 def test_words_near_a_place_with_a_large_vocabulary(spark, name, monkeypatch):
     """In parts of any number the results are those of a plain loop, and neither tokens nor pairs are shuffled: only texts by part, and words of parts."""
     from corpusloom.storage import materialise
